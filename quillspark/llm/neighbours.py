@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from quillspark.staging import stage
 
 DIMENSION = 64
-ORDERINGS = 16
+ORDERINGS = 20
 BLOCK = 2_048
+SPARE = 4
 PROJECTED = 5
 BITS = 10
 
@@ -78,9 +79,9 @@ def usable(cache: DataFrame, dimension: int = DIMENSION) -> DataFrame:
     return cache.where(F.col("text_hash").isNotNull() & v.isNotNull() & (F.size(v) == dimension)).where(fine).groupBy("text_hash").agg(F.max("vector").alias("vector"))
 
 
-def nearest(cache: DataFrame, k: int = 5, dimension: int = DIMENSION, orderings: int = ORDERINGS, block: int = BLOCK, refine: bool = True) -> DataFrame:
-    """(text_hash, neighbour, cosine, rank) for every usable vector."""
-    keep = k + 1
+def nearest(cache: DataFrame, k: int = 5, dimension: int = DIMENSION, orderings: int = ORDERINGS, block: int = BLOCK, spare: int = SPARE) -> DataFrame:
+    """(text_hash, neighbour, cosine, rank) for every usable vector. spare: candidates beyond k that are kept until the exact ranking."""
+    keep, wide = k + 1, k + spare
 
     def normalise(batches):
         import xxhash
@@ -92,96 +93,124 @@ def nearest(cache: DataFrame, k: int = 5, dimension: int = DIMENSION, orderings:
             x /= np.abs(x).max(axis=1, keepdims=True)
             x /= np.linalg.norm(x, axis=1, keepdims=True)
             same = [xxhash.xxh64_intdigest(r.tobytes()) - (1 << 63) for r in np.round(x * 1e5).astype(np.int32)]
-            yield pd.DataFrame({"text_hash": pdf.text_hash, "same": same, "unit": list(x.astype(np.float32))})
+            yield pd.DataFrame({"text_hash": pdf.text_hash, "same": same, "unit": [r.tobytes() for r in x.astype(np.float32)]})
 
-    units = usable(cache, dimension).mapInPandas(normalise, "text_hash string, same bigint, unit array<float>")
-    # Of equal vectors only the first k + 1 can be among anyone's neighbours; the others' neighbours are these.
-    hashes = units.select("same", "text_hash")
-    salted = hashes.groupBy("same", F.pmod(F.xxhash64("text_hash"), F.lit(64)).alias("salt")).agg(F.expr(f"slice(array_sort(collect_list(text_hash)), 1, {keep})").alias("few"), F.count("*").alias("n"))
+    units = stage(usable(cache, dimension).mapInPandas(normalise, "text_hash string, same bigint, unit binary").withColumn("id", F.monotonically_increasing_id()), "units")
+    # Of equal vectors only the first k + 1 can be among anyone's neighbours; the neighbours of the others are these.
+    salted = units.groupBy("same", F.pmod(F.xxhash64("text_hash"), F.lit(64)).alias("salt")).agg(F.expr(f"slice(array_sort(collect_list(text_hash)), 1, {keep})").alias("few"), F.count("*").alias("n"))
     few = salted.groupBy("same").agg(F.expr(f"slice(array_sort(flatten(collect_list(few))), 1, {keep})").alias("few"), F.sum("n").alias("n"))
     many = few.where(F.col("n") > keep).select("same", "few")
-    surplus = units.select("same", "text_hash").join(many, "same").where(~F.expr("array_contains(few, text_hash)"))
+    surplus = units.select("same", "text_hash", "id").join(many, "same").where(~F.expr("array_contains(few, text_hash)"))
     extra = surplus.select("text_hash", F.posexplode(F.slice("few", 1, k)).alias("p", "neighbour")).select("text_hash", "neighbour", F.lit(1.0).alias("cosine"), (F.col("p") + 1).alias("rank"))
-    members = stage(units.join(surplus.select("text_hash"), "text_hash", "left_anti").select("text_hash", "unit"), "units")
-
-    total = members.count()
-    parts = max(1, -(-total // block))
+    members = units.join(surplus.select("id"), "id", "left_anti")
+    parts = max(1, -(-members.count() // block))
 
     def keyed(batches):
         for pdf in batches:
             if len(pdf) == 0:
                 continue
-            x = np.stack(pdf.unit.to_numpy())
+            x = _matrix(pdf.unit, np.float32, dimension)
+            half = [r.tobytes() for r in x.astype(np.float16)]
             for o in range(orderings):
-                yield pd.DataFrame({"ordering": o, "key": curve(o, x), "text_hash": pdf.text_hash, "unit": pdf.unit})
+                yield pd.DataFrame({"ordering": o, "key": curve(o, x), "id": pdf.id, "half": half})
 
-    keys = members.mapInPandas(keyed, "ordering int, key bigint, text_hash string, unit array<float>")
     if parts > 1:
-        only = members.mapInPandas(lambda it: (p.drop(columns="unit") for p in keyed(it)), "ordering int, key bigint, text_hash string")
+        only = members.mapInPandas(lambda it: (p.drop(columns=["half", "id"]) for p in keyed(it)), "ordering int, key bigint")
         # Borders of the ranges: one number per block and ordering.
         marks = only.groupBy("ordering").agg(F.percentile_approx("key", [i / parts for i in range(1, parts)], max(10_000, 20 * parts)).alias("marks")).collect()
-        table = {r.ordering: np.array(r.marks) for r in marks}
-        shared = members.sparkSession.sparkContext.broadcast(table)
+        shared = cache.sparkSession.sparkContext.broadcast({r.ordering: np.array(r.marks) for r in marks})
 
-        def ranged(batches):
-            for pdf in keyed(batches):
-                o = int(pdf.ordering.iloc[0])
-                yield pdf.assign(range=np.searchsorted(shared.value[o], pdf.key, side="right"))
+    def ranged(batches):
+        for pdf in keyed(batches):
+            yield pdf.assign(range=np.searchsorted(shared.value[int(pdf.ordering.iloc[0])], pdf.key, side="right") if parts > 1 else 0)
 
-        keys = members.mapInPandas(ranged, "ordering int, key bigint, text_hash string, unit array<float>, range bigint")
-    else:
-        keys = keys.withColumn("range", F.lit(0).cast("bigint"))
+    keys = members.mapInPandas(ranged, "ordering int, key bigint, id bigint, half binary, range bigint")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["key", "text_hash"], kind="stable")
-        x, names = np.stack(pdf.unit.to_numpy()), pdf.text_hash.to_numpy()
+        pdf = pdf.sort_values(["key", "id"], kind="stable")
+        x, ids = _matrix(pdf.half, np.float16, dimension), pdf.id.to_numpy()
         out = []
-        # A range larger than asked for (many equal keys) is passed through in windows that overlap by half.
-        for at in range(0, max(1, len(x) - block), block) if len(x) > 2 * block else [0]:
-            stop = at + 2 * block if len(x) > 2 * block else len(x)
-            w = x[at:stop]
-            for q in range(0, len(w), 512):
-                rows = w[q : q + 512]
-                if len(w) < 2:
-                    continue
-                idx, cos = _top(rows, w, q + np.arange(len(rows)), k)
-                out.append(pd.DataFrame({"text_hash": np.repeat(names[at + q : at + q + len(rows)], idx.shape[1]), "neighbour": names[at:stop][idx.ravel()], "cosine": cos.ravel().astype(np.float64)}))
-        return pd.concat(out) if out else pd.DataFrame({"text_hash": [], "neighbour": [], "cosine": []})
-
-    found = keys.groupBy("ordering", "range").applyInPandas(compare, "text_hash string, neighbour string, cosine double")
-    ranked = _ranked(found, k)
-    if refine and parts > 1:
-        ranked = _second_round(stage(ranked, "near"), members, k)
+        # A range much larger than asked for (many nearly equal keys) is passed through in windows that overlap by half.
+        for at in range(0, len(x) - block, block) if len(x) > 3 * block else [0]:
+            stop = at + 2 * block if len(x) > 3 * block else len(x)
+            for q in range(at, stop, 512):
+                rows = x[q : min(q + 512, stop)]
+                if stop - at > 1:
+                    idx, cos = _top(rows, x[at:stop], q - at + np.arange(len(rows)), wide)
+                    out.append(_lists(ids[q : q + len(rows)], ids[at:stop][idx], cos))
+        return pd.concat(out) if out else _lists(ids[:0], ids[:0, None], ids[:0, None])
+
+    lists = "id bigint, ids array<bigint>, cos array<float>"
+    near = stage(_merged(keys.groupBy("ordering", "range").applyInPandas(compare, lists), wide), "near")
+    halves = members.mapInPandas(lambda it: (pd.DataFrame({"id": p.id, "unit": [r.tobytes() for r in _matrix(p.unit, np.float32, dimension).astype(np.float16)]}) for p in it if len(p)), "id bigint, unit binary")
+    if parts > 1:
+        # Texts that share a neighbour are compared with each other where that neighbour's list, in either direction, brings them together.
+        forth = near.select("id", F.explode("ids").alias("m"))
+        back = near.select(F.posexplode("ids").alias("p", "id"), F.col("id").alias("m"), "p")
+        few_back = back.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("p", "m"))).where(F.col("r") <= wide)
+        link = forth.select(F.col("id").alias("m"), F.col("m").alias("id")).unionByName(few_back.select(F.col("id").alias("m"), F.col("m").alias("id"))).distinct()
+        around = _with_units(link, halves)
+
+        def meet(batches):
+            for pdf in batches:
+                for width in sorted({len(x) for x in pdf.ids}):
+                    own = pdf[[len(x) == width for x in pdf.ids]]
+                    if width < 2:
+                        continue
+                    x = np.frombuffer(b"".join(b for u in own.units for b in u), np.float16).reshape(-1, width, dimension).astype(np.float32)
+                    s = x @ x.transpose(0, 2, 1)
+                    s[:, np.arange(width), np.arange(width)] = -2
+                    most = min(wide, width - 1)
+                    at = np.argsort(-s, axis=2)[:, :, :most]
+                    ids = np.stack([np.asarray(i) for i in own.ids])
+                    there = np.take_along_axis(np.broadcast_to(ids[:, None, :], s.shape), at, axis=2)
+                    yield _lists(ids.ravel(), there.reshape(-1, most), np.take_along_axis(s, at, axis=2).reshape(-1, most))
+
+        near = _merged(near.unionByName(around.mapInPandas(meet, lists)), wide)
+    # Exact cosines of what is left, each text's own vector first in its list.
+    link = near.select(F.col("id").alias("m"), F.explode("ids").alias("id"))
+    full = members.select("id", "unit", "text_hash")
+    own = _with_units(link, full, names=True).withColumnRenamed("m", "id").join(full.select("id", F.col("unit").alias("own"), "text_hash"), "id")
+
+    def exact(batches):
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            sizes = [len(u) for u in pdf.units]
+            x = np.frombuffer(b"".join(b for u in pdf.units for b in u), np.float32).reshape(-1, dimension).astype(np.float64)
+            q = np.repeat(_matrix(pdf.own, np.float32, dimension).astype(np.float64), sizes, axis=0)
+            yield pd.DataFrame({"text_hash": np.repeat(pdf.text_hash.to_numpy(), sizes), "neighbour": [n for u in pdf.names for n in u], "cosine": np.round(np.einsum("ij,ij->i", q, x), 6)})
+
+    order = Window.partitionBy("text_hash").orderBy(F.desc("cosine"), "neighbour")
+    ranked = own.mapInPandas(exact, "text_hash string, neighbour string, cosine double").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.unionByName(extra)
 
 
-def _ranked(found: DataFrame, k: int) -> DataFrame:
-    """The k best of each text among what was found, each pair once."""
-    best = found.groupBy("text_hash", "neighbour").agg(F.max(F.round("cosine", 6)).alias("cosine"))
-    order = Window.partitionBy("text_hash").orderBy(F.desc("cosine"), "neighbour")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
-def _second_round(ranked: DataFrame, members: DataFrame, k: int) -> DataFrame:
-    """Adds the neighbours of neighbours, in either direction, as candidates: at most (2k)² for a text, as reverse lists keep their k best."""
-    back = ranked.select(F.col("neighbour").alias("text_hash"), F.col("text_hash").alias("neighbour"), "cosine")
-    back = _ranked(back, k)
-    link = ranked.select("text_hash", "neighbour").unionByName(back.select("text_hash", "neighbour")).distinct()
-    via = link.select(F.col("text_hash").alias("a"), F.col("neighbour").alias("m"))
-    hop = via.join(link.select(F.col("text_hash").alias("m"), F.col("neighbour").alias("b")), "m").where("a <> b").select("a", "b").distinct()
-    lists = hop.groupBy("a").agg(F.collect_list("b").alias("bs"))
-    unit_b = members.select(F.col("text_hash").alias("b"), F.col("unit").alias("unit_b"))
-    unit_a = members.select(F.col("text_hash").alias("a"), F.col("unit").alias("unit_a"))
-    pairs = lists.join(unit_a, "a").select("a", "unit_a", F.explode("bs").alias("b")).join(unit_b, "b")
-
-    def cosine(batches):
-        for pdf in batches:
-            if len(pdf):
-                c = np.einsum("ij,ij->i", np.stack(pdf.unit_a.to_numpy()), np.stack(pdf.unit_b.to_numpy()), dtype=np.float64)
-                yield pd.DataFrame({"text_hash": pdf.a, "neighbour": pdf.b, "cosine": c})
+def _matrix(column, kind, dimension: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column), kind).reshape(-1, dimension).astype(np.float32)
+
+
+def _lists(ids: np.ndarray, there: np.ndarray, cos: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"id": ids, "ids": list(there), "cos": list(cos.astype(np.float32))})
+
+
+def _merged(found: DataFrame, wide: int) -> DataFrame:
+    """The best of each id's lists, best first."""
+    # Halves of vectors carry three digits, so what is found twice agrees in them or is kept twice until the exact ranking.
+    all_of = F.flatten(F.collect_list(F.transform(F.arrays_zip("cos", "ids"), lambda x: F.struct(F.round(-x["cos"], 3).alias("c"), x["ids"].alias("i")))))
+    best = found.groupBy("id").agg(F.array_sort(F.array_distinct(all_of)).alias("all"))
+    first = F.slice(F.array_distinct(F.transform("all", lambda x: x["i"])), 1, wide)
+    ids = best.select("id", first.alias("ids"), "all")
+    of = F.transform("ids", lambda i: -F.element_at(F.filter("all", lambda x: x["i"] == i), 1)["c"])
+    return ids.select("id", "ids", of.cast("array<float>").alias("cos"))
+
 
-    more = pairs.select("a", "b", "unit_a", "unit_b").mapInPandas(cosine, "text_hash string, neighbour string, cosine double")
-    return _ranked(ranked.select("text_hash", "neighbour", "cosine").unionByName(more), k)
+def _with_units(link: DataFrame, units: DataFrame, names: bool = False) -> DataFrame:
+    """(m, ids, units): the linked ids of each m with their vectors."""
+    both = F.array_sort(F.collect_list(F.struct("id", "unit", *(["text_hash"] if names else []))))
+    rows = link.join(units, "id").groupBy("m").agg(both.alias("all"))
+    more = [F.transform("all", lambda x: x["text_hash"]).alias("names")] if names else []
+    return rows.select("m", F.transform("all", lambda x: x["id"]).alias("ids"), F.transform("all", lambda x: x["unit"]).alias("units"), *more)
 
 
 def mutual(ranked: DataFrame, least: float = 0.9) -> DataFrame:
