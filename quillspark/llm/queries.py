@@ -50,7 +50,19 @@ def p8_containers(spark, d):
     return fill_containers(sizes, _t(spark, d, "token_budgets"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_pieces, p5_found, p5_neighbours, p7_ids, p8_containers)}
+def p9_found(spark, d):
+    from .encodings import restore
+
+    return restore(_t(spark, d, "documents")).where("lines_restored > 0 or lost > 0").select("doc_id").distinct()
+
+
+def p9_restored(spark, d):
+    from .encodings import restore
+
+    return restore(_t(spark, d, "documents")).where("lines_restored > 0 or lost > 0")
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_pieces, p5_found, p5_neighbours, p7_ids, p8_containers, p9_found, p9_restored)}
 
 SQL = {
     "p4_found": "SELECT DISTINCT id AS chunk_id FROM chunks WHERE length(text) > 2600",
