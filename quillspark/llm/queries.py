@@ -10,6 +10,18 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p2_found(spark, d):
+    from .neardups import near_pairs
+
+    return near_pairs(_t(spark, d, "chunks")).select("text_hash_a", "text_hash_b")
+
+
+def p2_groups(spark, d):
+    from .neardups import near_groups
+
+    return near_groups(_t(spark, d, "chunks"))
+
+
 def p4_found(spark, d):
     from .splitting import split_chunks
 
@@ -62,7 +74,7 @@ def p9_restored(spark, d):
     return restore(_t(spark, d, "documents")).where("lines_restored > 0 or lost > 0")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_pieces, p5_found, p5_neighbours, p7_ids, p8_containers, p9_found, p9_restored)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p4_found, p4_pieces, p5_found, p5_neighbours, p7_ids, p8_containers, p9_found, p9_restored)}
 
 SQL = {
     "p4_found": "SELECT DISTINCT id AS chunk_id FROM chunks WHERE length(text) > 2600",
