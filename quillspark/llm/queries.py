@@ -22,6 +22,18 @@ def p2_groups(spark, d):
     return near_groups(_t(spark, d, "chunks"))
 
 
+def p3_found(spark, d):
+    from .history import repeats
+
+    return repeats(_t(spark, d, "documents"), _t(spark, d, "chunks"))
+
+
+def p3_batches(spark, d):
+    from .history import repeats_by_batch
+
+    return repeats_by_batch(_t(spark, d, "documents"), _t(spark, d, "chunks"))
+
+
 def p4_found(spark, d):
     from .splitting import split_chunks
 
@@ -74,8 +86,16 @@ def p9_restored(spark, d):
     return restore(_t(spark, d, "documents")).where("lines_restored > 0 or lost > 0")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p4_found, p4_pieces, p5_found, p5_neighbours, p7_ids, p8_containers, p9_found, p9_restored)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_batches, p4_found, p4_pieces, p5_found, p5_neighbours, p7_ids, p8_containers, p9_found, p9_restored)}
+
+_HEX = "right(regexp_replace(regexp_replace(lower({0}), '^\\s*(sha[-_]?[0-9]+[-_:=\\s]+|[a-z][a-z0-9_-]*\\s*[:=]\\s*|0x)', ''), '[^0-9a-f]', '', 'g'), 64)"
 
 SQL = {
+    "p3_found": f"""WITH d AS (SELECT DISTINCT doc_id, id, coalesce(batch_no, 0) AS b, nullif({_HEX.format('content_hash')}, '') AS ch, nullif({_HEX.format('fingerprint')}, '') AS fp FROM documents),
+s AS (SELECT DISTINCT d.doc_id, d.b, c.text_hash FROM d JOIN chunks c ON c.document_id = d.id), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.text_hash = y.text_hash AND x.doc_id < y.doc_id AND (x.b > 0 OR y.b > 0) GROUP BY 1, 2)
+SELECT a AS doc_id_a, b AS doc_id_b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 2 * k > na.n AND 2 * k > nb.n
+UNION SELECT x.doc_id, y.doc_id FROM d x JOIN d y ON x.ch = y.ch AND x.doc_id < y.doc_id AND (x.b > 0 OR y.b > 0)
+UNION SELECT x.doc_id, y.doc_id FROM d x JOIN d y ON x.fp = y.fp AND x.doc_id < y.doc_id AND (x.b > 0 OR y.b > 0)""",
     "p4_found": "SELECT DISTINCT id AS chunk_id FROM chunks WHERE length(text) > 2600",
 }
