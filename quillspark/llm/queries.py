@@ -10,6 +10,20 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p1_repaired(spark, d):
+    from .scans import repair
+
+    found = repair(_t(spark, d, "chunks"), _t(spark, d, "page_proofs"))
+    return found.where("lines_deleted + hyphens_deleted + words_changed > 0").dropDuplicates(["chunk_id"])
+
+
+def p1_found(spark, d):
+    from .scans import repair
+
+    found = repair(_t(spark, d, "chunks"), _t(spark, d, "page_proofs"))
+    return found.where("lines_deleted + hyphens_deleted + words_changed > 0").select("chunk_id").distinct()
+
+
 def p2_found(spark, d):
     from .neardups import near_pairs
 
@@ -86,7 +100,7 @@ def p9_restored(spark, d):
     return restore(_t(spark, d, "documents")).where("lines_restored > 0 or lost > 0")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_batches, p4_found, p4_pieces, p5_found, p5_neighbours, p7_ids, p8_containers, p9_found, p9_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_groups, p3_found, p3_batches, p4_found, p4_pieces, p5_found, p5_neighbours, p7_ids, p8_containers, p9_found, p9_restored)}
 
 _HEX = "right(regexp_replace(regexp_replace(lower({0}), '^\\s*(sha[-_]?[0-9]+[-_:=\\s]+|[a-z][a-z0-9_-]*\\s*[:=]\\s*|0x)', ''), '[^0-9a-f]', '', 'g'), 64)"
 
