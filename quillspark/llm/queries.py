@@ -72,6 +72,24 @@ def p5_neighbours(spark, d):
     return nearest(_t(spark, d, "vector_cache")).select("text_hash", "neighbour", F.round("cosine", 5).alias("cosine"), "rank")
 
 
+def p6_found(spark, d):
+    from .languages import unnamed
+
+    return unnamed(_t(spark, d, "documents"), _t(spark, d, "chunks"), _t(spark, d, "lang_labels"))
+
+
+def p6_passages(spark, d):
+    from .languages import label_passages
+
+    return label_passages(_t(spark, d, "documents"), _t(spark, d, "chunks"), _t(spark, d, "lang_labels"))
+
+
+def p6_documents(spark, d):
+    from .languages import label_documents
+
+    return label_documents(_t(spark, d, "documents"), _t(spark, d, "chunks"), _t(spark, d, "lang_labels"))
+
+
 def p7_ids(spark, d):
     from .tokens import encode_corpus
 
@@ -100,7 +118,7 @@ def p9_restored(spark, d):
     return restore(_t(spark, d, "documents")).where("lines_restored > 0 or lost > 0")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_groups, p3_found, p3_batches, p4_found, p4_pieces, p5_found, p5_neighbours, p7_ids, p8_containers, p9_found, p9_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_groups, p3_found, p3_batches, p4_found, p4_pieces, p5_found, p5_neighbours, p6_found, p6_passages, p6_documents, p7_ids, p8_containers, p9_found, p9_restored)}
 
 _HEX = "right(regexp_replace(regexp_replace(lower({0}), '^\\s*(sha[-_]?[0-9]+[-_:=\\s]+|[a-z][a-z0-9_-]*\\s*[:=]\\s*|0x)', ''), '[^0-9a-f]', '', 'g'), 64)"
 
