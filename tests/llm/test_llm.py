@@ -90,6 +90,31 @@ def test_chain_is_implied_by_the_budget():
     assert ((total <= 24) == neardups.chained(x, y, 24)).all()
 
 
+def test_near_pairs_at_the_threshold(spark):
+    """Pairs of similarity 0.5 to 0.6, exactly 0.5 among them, of short and of long texts: none may be lost."""
+    own = np.random.default_rng(8)
+    vocabulary, texts = [f"w{i}" for i in range(5_000)], []
+    for k in range(400):
+        n = 78 if k % 4 else 780
+        shared = (2 * n + 2) // 3 + k % 5 * n // 78
+        base = list(own.choice(vocabulary, n + 2))
+        texts += [base, [*base[: shared + 2], *own.choice(vocabulary, n - shared)]]
+    sets = [{*zip(t, t[1:], t[2:])} for t in texts]
+    s = [len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2])]
+    assert min(s) == 0.5 and max(s) < 0.6
+    df = spark.createDataFrame([(f"{i:064x}"[::-1], " ".join(t)) for i, t in enumerate(texts)], "text_hash string, text string")
+    got = {tuple(sorted((int(r.text_hash_a[::-1], 16), int(r.text_hash_b[::-1], 16)))) for r in neardups.near_pairs(df).collect()}
+    assert got == {(i, i + 1) for i in range(0, 800, 2)}
+
+
+def test_chain_holds_for_budgets_of_their_own():
+    own = np.random.default_rng(6)
+    x = own.integers(0, 1 << 62, (4_000, neardups.WORDS)).astype(np.uint64)
+    y = x ^ (own.integers(0, 1 << 62, x.shape) & own.integers(0, 1 << 62, x.shape) & own.integers(0, 1 << 62, x.shape)).astype(np.uint64)
+    total, budget = np.bitwise_count(x ^ y).sum(axis=1), own.integers(40, 90, len(x))
+    assert 0 < (total <= budget).sum() < len(x) and ((total <= budget) == neardups.chained(x, y, budget)).all()
+
+
 def test_small_world_finds_every_key():
     own = np.random.default_rng(5)
     keys = np.unique(own.integers(0, 1 << 63, 5_000).astype(np.uint64) * np.uint64(2))
