@@ -23,6 +23,7 @@ COMPANIES = ["VPF2", "KVR2", "MHS7", "GWH5"]
 CATEGORIES = ["results", "press_releases", "quarterly_results"]
 FIRST, LAST = "2015-01-01", "2022-12-31"
 DIMENSION = 64
+EVERY = 20
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -45,6 +46,15 @@ def _probes(spark, d):
     return own.select(F.row_number().over(Window.orderBy("text_hash")).cast("bigint").alias("question_id"), F.col("vector").alias("probe"))
 
 
+def _batch_questions(spark, d):
+    return _rows(spark, d).where(f"chunk_id % {EVERY} = 0 and title is not null").select(F.col("chunk_id").alias("question_id"), F.col("title").alias("question"))
+
+
+def _batch_probes(spark, d):
+    own = _t(spark, d, "chunks").where(f"id % {EVERY} = 0").dropDuplicates(["id"]).select(F.col("id").alias("question_id"), "text_hash")
+    return own.join(ranking.usable(_t(spark, d, "vector_cache"), DIMENSION), "text_hash").select("question_id", F.col("vector").alias("probe"))
+
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -126,11 +136,16 @@ def pending_union(spark, d):
     return _t(spark, d, "chunks").select(F.col("id").alias("chunk_id")).union(_t(spark, d, "vector_pending").select("chunk_id")).distinct()
 
 
-def _bm25_sql(where: str = "true", by: str = "question_id") -> str:
-    asked = ", ".join(f"({i}, '{q}')" for i, q in QUESTIONS)
+#: The whole batch of searches: the titles, and the vectors, of all chunks whose id is divisible by EVERY.
+_BATCH_Q = f"SELECT c.id, d.title FROM c JOIN d ON d.id = c.document_id WHERE c.id % {EVERY} = 0 AND d.title IS NOT NULL"
+_BATCH_P = f"SELECT c.id AS question_id, vector AS probe FROM c JOIN v ON v.text_hash = c.text_hash WHERE c.id % {EVERY} = 0"
+
+
+def _bm25_sql(where: str = "true", by: str = "question_id", asked: str | None = None) -> str:
+    asked = asked or "VALUES " + ", ".join(f"({i}, '{q}')" for i, q in QUESTIONS)
     stop = ", ".join(f"'{w}'" for w in tx.STOP_WORDS)
     fold = lambda x: f"translate(lower({x}), '{tx.MARKED}', '{tx.FOLDED}')"
-    return f"""{_C}, {_D}, q(question_id, question) AS (VALUES {asked}),
+    return f"""{_C}, {_D}, q(question_id, question) AS ({asked}),
 w AS (SELECT question_id, unnest(regexp_extract_all(lower(question), '[\\p{{L}}\\p{{N}}_]+')) AS w FROM q),
 terms AS (SELECT DISTINCT question_id::BIGINT AS question_id, {fold('w')} AS term FROM w WHERE w NOT IN ({stop})),
 r AS (SELECT c.id AS chunk_id, d.company, d.title, d.category, d.publication_date, c.document_id, c.text_hash, c.text, regexp_extract_all({fold("d.company || ' ' || d.title")}, '[\\p{{L}}\\p{{N}}\\p{{Co}}]+') AS tt, regexp_extract_all({fold('c.text')}, '[\\p{{L}}\\p{{N}}\\p{{Co}}]+') AS bt FROM c JOIN d ON d.id = c.document_id),
@@ -153,8 +168,8 @@ def bm25_filtered(spark, d):
     return ranking.bm25(_questions(spark), _rows(spark, d), ranking.passes(COMPANIES, last=LAST))
 
 
-def _dense_sql(where: str = "true") -> str:
-    return f"""{_V}, pr AS (SELECT row_number() OVER (ORDER BY text_hash) AS question_id, vector AS probe FROM (SELECT * FROM v ORDER BY text_hash LIMIT 5)),
+def _dense_sql(where: str = "true", asked: str = "SELECT row_number() OVER (ORDER BY text_hash) AS question_id, vector AS probe FROM (SELECT * FROM v ORDER BY text_hash LIMIT 5)") -> str:
+    return f"""{_V}, pr AS ({asked}),
 den0 AS (SELECT question_id, c.id AS chunk_id, round(list_cosine_similarity(vector::DOUBLE[], probe::DOUBLE[]), 6) AS score FROM c JOIN d ON d.id = c.document_id JOIN v ON v.text_hash = c.text_hash, pr WHERE {where}),
 den AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id)::INT AS rank FROM den0 QUALIFY rank <= 80)"""
 
@@ -176,17 +191,22 @@ def vector_validity(spark, d):
     return _t(spark, d, "vector_cache").select("text_hash", F.coalesce(fine, F.lit(False)).alias("usable")).distinct()
 
 
-def _lists(spark, d):
+def _lists(spark, d, batch: bool = False):
     rows = _rows(spark, d)
-    lex = ranking.bm25(_questions(spark), rows).select("question_id", F.lit("lexical").alias("list"), "chunk_id", "rank")
-    return rows, lex.unionByName(ranking.dense(_probes(spark, d), _t(spark, d, "vector_cache"), rows).select("question_id", F.lit("dense").alias("list"), "chunk_id", "rank"))
+    lex = ranking.bm25(_batch_questions(spark, d) if batch else _questions(spark), rows).select("question_id", F.lit("lexical").alias("list"), "chunk_id", "rank")
+    return rows, lex.unionByName(ranking.dense(_batch_probes(spark, d) if batch else _probes(spark, d), _t(spark, d, "vector_cache"), rows).select("question_id", F.lit("dense").alias("list"), "chunk_id", "rank"))
 
 
-_FUSED = f"""{_bm25_sql()}, {_dense_sql()}, both_lists AS (SELECT question_id, 'lexical' AS list, chunk_id, rank FROM lex UNION ALL SELECT question_id, 'dense', chunk_id, rank FROM den),
+def _fused_sql(lex: str, den: str) -> str:
+    return f"""{lex}, {den}, both_lists AS (SELECT question_id, 'lexical' AS list, chunk_id, rank FROM lex UNION ALL SELECT question_id, 'dense', chunk_id, rank FROM den),
 rrf0 AS (SELECT question_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM both_lists GROUP BY 1, 2),
 rrf AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id)::INT AS rank FROM rrf0)"""
 
 
+_FUSED = _fused_sql(_bm25_sql(), _dense_sql())
+_BATCH = _fused_sql(_bm25_sql(asked=_BATCH_Q), _dense_sql(asked=_BATCH_P))
+
+
 @_query(f"WITH {_FUSED} SELECT * FROM rrf")
 def rrf_hybrid(spark, d):
     return ranking.fused(_lists(spark, d)[1], ["question_id"])
@@ -218,6 +238,50 @@ def reserved_selection(spark, d):
     return ranking.diversified(ranking.fused(lists, ["question_id"]), rows, ["question_id"], reserved=lists)
 
 
+@_query(f"WITH {_bm25_sql(asked=_BATCH_Q)} SELECT * FROM lex")
+def bm25_questions_batch(spark, d):
+    return ranking.bm25(_batch_questions(spark, d), _rows(spark, d))
+
+
+@_query(f"WITH {_bm25_sql(f'''r.company IN {tuple(COMPANIES)} AND r.publication_date <= '{LAST}' ''', asked=_BATCH_Q)} SELECT * FROM lex")
+def bm25_filtered_batch(spark, d):
+    return ranking.bm25(_batch_questions(spark, d), _rows(spark, d), ranking.passes(COMPANIES, last=LAST))
+
+
+@_query(f"WITH {_C}, {_D}, {_dense_sql(asked=_BATCH_P)} SELECT * FROM den")
+def dense_topk_batch(spark, d):
+    return ranking.dense(_batch_probes(spark, d), _t(spark, d, "vector_cache"), _rows(spark, d))
+
+
+@_query(f"WITH {_C}, {_D}, {_dense_sql(f'''d.category IN {tuple(CATEGORIES)} AND d.publication_date >= '{FIRST}' ''', _BATCH_P)} SELECT * FROM den")
+def dense_filtered_batch(spark, d):
+    return ranking.dense(_batch_probes(spark, d), _t(spark, d, "vector_cache"), _rows(spark, d), ranking.passes(None, CATEGORIES, FIRST))
+
+
+@_query(f"WITH {_BATCH} SELECT * FROM rrf")
+def rrf_hybrid_batch(spark, d):
+    return ranking.fused(_lists(spark, d, True)[1], ["question_id"])
+
+
+@_query(f"""WITH {_bm25_sql(f'r.company IN {tuple(COMPANIES)}', 'question_id, r.company', _BATCH_Q)}
+SELECT r.company, lex.question_id, lex.chunk_id, round(1.0::DOUBLE / (60 + rank), 6) AS score, row_number() OVER (PARTITION BY r.company, question_id ORDER BY round(1.0::DOUBLE / (60 + rank), 6) DESC, lex.chunk_id)::INT AS rank FROM lex JOIN r ON r.chunk_id = lex.chunk_id""")
+def rrf_per_company_batch(spark, d):
+    lists = ranking.bm25(_batch_questions(spark, d), _rows(spark, d), ranking.passes(COMPANIES), group="company")
+    return ranking.fused(lists.select("company", "question_id", "chunk_id", "rank"), ["company", "question_id"])
+
+
+@_query(f"WITH {_BATCH}, {_greedy_sql('''SELECT question_id, 1 AS phase, '' AS list, rank, chunk_id FROM rrf''')}")
+def greedy_selection_batch(spark, d):
+    rows, lists = _lists(spark, d, True)
+    return ranking.diversified(ranking.fused(lists, ["question_id"]), rows, ["question_id"])
+
+
+@_query(f"WITH {_BATCH}, {_greedy_sql('''SELECT question_id, 1 AS phase, '' AS list, rank, chunk_id FROM rrf UNION ALL SELECT question_id, 0, list, rank, chunk_id FROM both_lists''')}")
+def reserved_selection_batch(spark, d):
+    rows, lists = _lists(spark, d, True)
+    return ranking.diversified(ranking.fused(lists, ["question_id"]), rows, ["question_id"], reserved=lists)
+
+
 def _names(spark, d):
     docs = _t(spark, d, "documents").select(F.col("id").alias("document_id"), "company").distinct()
     alias = _t(spark, d, "company_aliases").select("document_id", F.trim(F.regexp_replace("alias", r"(?U)\s+", " ")).alias("alias"))

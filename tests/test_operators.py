@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from quillspark.functions import text as tx
 from quillspark.operators import chunking, evidence, limits, ranking, store
@@ -73,6 +74,21 @@ def test_filter_keeps_statistics(spark):
     assert ranking.bm25(q, rows.where("false")).count() == 0
 
 
+def test_searches_of_any_number(spark):
+    """More questions than one block, and than were once allowed: each gets what it gets alone."""
+    n = 10_001
+    rows = spark.createDataFrame([(i, "d", "A", "t", "c", None, " ".join(f"w{(i * k) % 23}" for k in range(1, 9)), str(i)) for i in range(60)], "chunk_id bigint, document_id string, company string, title string, category string, publication_date string, text string, text_hash string")
+    words = spark.range(n).select(F.col("id").alias("question_id"), F.concat_ws(" ", *[F.concat(F.lit("w"), (F.floor(F.col("id") / 24**k) % 24).cast("string")) for k in range(3)]).alias("question"))
+    some = F.col("question_id").isin(0, 5_000, 10_000)
+    key = lambda df: sorted((r.question_id, r.rank, r.chunk_id, r.score) for r in df.where(some).collect())
+    got = ranking.bm25(words, rows, most=5).cache()
+    assert got.select("question_id").distinct().count() == n and key(got) == key(ranking.bm25(words.where(some), rows, most=5))
+    vectors = spark.createDataFrame([(str(i), [1.0, i / 10, (i % 7) / 3]) for i in range(60)], "text_hash string, vector array<float>")
+    probes = spark.range(n).select(F.col("id").alias("question_id"), F.array(F.lit(1.0), F.col("id") / 1_000, (F.col("id") % 5).cast("double")).cast("array<float>").alias("probe"))
+    got = ranking.dense(probes, vectors, rows, most=5).cache()
+    assert got.count() == 5 * n and key(got) == key(ranking.dense(probes.where(some), vectors, rows, most=5))
+
+
 def test_store_changes(spark):
     a, b = spark.createDataFrame([("1", "x"), ("2", None), ("3", "z")], "id string, fingerprint string"), spark.createDataFrame([("1", "y"), ("2", None), ("4", "w")], "id string, fingerprint string")
     assert {r.id: r.change for r in store.changes(a, b).collect()} == {"1": "changed", "2": "unchanged", "3": "removed", "4": "new"}
