@@ -4,7 +4,9 @@ What makes two documents duplicates is a shared key: a content hash, a fingerpri
 more than half of both must share one of the rarer half of each, whatever the order of rarity). Keys are points on a ring. A shard holds the keys
 of one history segment in one arc of the ring as a small-world graph: each point is linked to its neighbours on the ring and, at distances drawn
 with density 1 / distance, to far ones. A search walks greedily with a beam, which is widened until a sample of every shard's own queries agrees
-with exhaustive search. What it finds is ranked again by exact comparison. A batch adds shards; every ``COMPACT_EVERY`` batches these are merged.
+with exhaustive search. What it finds is ranked again by exact comparison.
+
+No index is kept: every run builds all shards anew over the whole history, labelled as if every ``COMPACT_EVERY`` batches had been merged.
 
 An embedding of whole chunk sets was not used: unrelated sets are all equally far apart, which gives a graph nothing to navigate by.
 
