@@ -2,7 +2,8 @@
 
 Each ordering projects the unit vectors to a few dimensions by its own random rotation and shift, and sorts them along a Hilbert curve. Ranges of
 the key are compared within themselves by matrix products; what the orderings find is merged and ranked again by exact cosine. A second round
-compares each vector with the neighbours its neighbours found.
+compares each vector with the neighbours its neighbours found. Ranges do not overlap, and of those that list a vector only the k + spare that place it best are
+linked back to it; both cost recall.
 
 Defined results: vectors that are null, of another length, all zero, or hold null or non-finite numbers take no part; a text_hash delivered twice
 counts once; ties in cosine go to the smaller text_hash; with fewer than k other vectors, all others are listed.
