@@ -138,6 +138,15 @@ def test_mending(wrong):
     assert encodings.Mender(usual, {}, {}).mend(line) == line
 
 
+def test_learned_runs_propose_on_their_own():
+    """A misreading that is no listed one is undone where twins taught it, and nowhere else."""
+    usual = {"für": 90, "schließlich": 80, "Maß": 70}
+    taught = encodings.Mender(usual, {}, {"ʬ": "ü", "ʘ": "ß"})
+    assert taught.mend("fʬr das Maʘ und schlieʘlich ʬ") == "für das Maß und schließlich ʬ"
+    assert taught.mend("Maß für ʬx") == "Maß für ʬx"
+    assert encodings.Mender(usual, {}, {}).mend("fʬr das Maʘ") == "fʬr das Maʘ"
+
+
 def test_restore_edges(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "lost �"), (None, "plain")], "doc_id bigint, text string")
     out = {r.doc_id: (r.text, r.lines_restored, r.lost) for r in encodings.restore(df).collect()}
