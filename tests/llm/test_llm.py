@@ -130,12 +130,58 @@ def test_repeats(spark):
     assert history.repeats(d.where("false"), c).count() == 0
 
 
-@pytest.mark.parametrize("wrong", [lambda t: t.encode().decode("latin-1"), lambda t: t.encode().decode("cp437"), lambda t: t.encode().decode("mac_roman"), lambda t: t.encode("cp1252").decode("cp1251")])
-def test_mending(wrong):
+@pytest.mark.parametrize("name", ["utf-8 as latin-1", "utf-8 as cp437", "utf-8 as mac_roman", "cp1252 as cp1251", "utf-8 as cp1252 twice"])
+def test_mending(name):
     line = "l’unité a augmenté de 5 € grâce à l’été"
     usual = {t: 900 for t in encodings.tokens(line)}
-    assert encodings.Mender(usual, {}, {}).mend(wrong(line)) == line
-    assert encodings.Mender(usual, {}, {}).mend(line) == line
+    wrong = encodings.garble(line, encodings.CANDIDATES[name])
+    assert encodings.Mender(usual, {name: 9}, {}).mend(wrong) == line
+    assert encodings.Mender(usual, {name: 9}, {}).mend(line) == line
+    # What nobody taught is not undone.
+    assert encodings.Mender(usual, {}, {}).mend(wrong) == wrong
+
+
+def _corpus(taught: bool):
+    """Clean documents, documents misread in one way and, with taught, their twins."""
+    own = np.random.default_rng(9)
+    nouns = "société unité clientèle trésorerie dépréciation activité propriété durée".split()
+    lines = [" ".join(["la", str(own.choice(nouns)), "du", str(own.choice(nouns)), f"groupe{chr(97 + k)}", "a augmenté"]) for k in range(24)]
+    rows = [(i, lines[i % 24]) for i in range(240)]
+    wrong = lambda t: t.encode().decode("mac_roman")
+    rows += [(1_000 + i, wrong(lines[i] if taught else lines[i].replace("groupe", f"division{chr(97 + i)}{i}x"))) for i in range(12)]
+    rows += [(2_000 + i, wrong(f"une tout autre clause{chr(97 + i)} sur la {nouns[i]} de cette année")) for i in range(8)]
+    return rows + [(3_000 + i, f"une année sans clause{chr(97 + i)} numéro") for i in range(30)]
+
+
+def test_only_taught_readings_are_undone(spark):
+    for taught in (True, False):
+        rows = _corpus(taught)
+        df = spark.createDataFrame(rows, "doc_id bigint, text string")
+        got = {r.doc_id: r.text for r in encodings.restore(df).where("lines_restored > 0 or lost > 0").collect()}
+        assert {i for i in got if i < 1_000 or i >= 3_000} == set()
+        if taught:
+            assert set(got) == {*range(1_000, 1_012), *range(2_000, 2_008)}
+            assert got[2_000] == "une tout autre clausea sur la société de cette année"
+        else:
+            assert got == {}
+
+
+def test_confirmed_maps_explain_something_of_their_own():
+    votes = {("utf-8 as cp1252", "utf-8 as cp1250"): 20, ("utf-8 as cp1252",): 5, ("utf-8 as latin-1",): 4, ("utf-8 as cp437",): 2}
+    assert encodings.confirmed(votes) == {"utf-8 as cp1252": 25, "utf-8 as latin-1": 4}
+
+
+def test_wide_text_is_aligned_beside_an_anchor():
+    clean, name = "合同到期之后", "gb18030 as latin-1"
+    wrong = encodings.garble(clean, encodings.CANDIDATES[name])
+    assert encodings.explained_beside(">Anchor", wrong[:8], clean)[name] == 8 and name in encodings.explained_beside("<Anchor", wrong[-8:], clean)
+    assert encodings.explained_beside(">Anchor", "¼¾¶È½áÊø", clean) == {}
+
+
+def test_lost_marks_are_learned_and_words_restored():
+    usual = {"für": 900, "schließlich": 80, "fär": 3}
+    own = encodings.Mender(usual, {}, {}, frozenset("�"))
+    assert own.mend("f�r die schlie�lich x�x") == "für die schließlich x�x"
 
 
 def test_learned_runs_propose_on_their_own():
@@ -150,7 +196,8 @@ def test_learned_runs_propose_on_their_own():
 def test_restore_edges(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "lost �"), (None, "plain")], "doc_id bigint, text string")
     out = {r.doc_id: (r.text, r.lines_restored, r.lost) for r in encodings.restore(df).collect()}
-    assert out == {1: (None, 0, 0), 2: ("", 0, 0), 3: ("lost �", 0, 1), None: ("plain", 0, 0)}
+    assert out == {1: (None, 0, 0), 2: ("", 0, 0), 3: ("lost �", 0, 0), None: ("plain", 0, 0)}
+    assert encodings.restore(df.where("false")).count() == 0
 
 
 def test_editor_learns():
