@@ -82,12 +82,55 @@ def test_near_pairs_against_brute_force(spark):
     assert neardups.near_groups(df).count() == 60 and neardups.near_pairs(df.where("false")).count() == 0
 
 
-def test_chain_is_implied_by_the_budget():
+def _posted(sets, similarity):
+    order = np.zeros(neardups.CELLS, np.uint8)
+    own, flat, place, sizes = neardups.prefixes(sets, order, similarity)
+    bits = neardups.sketches(sets)
+    widths = np.array([len(x) for x in bits])
+    found = neardups.Sketches(np.concatenate(bits).view(np.uint64), np.cumsum(widths) - widths, widths, sizes.astype(np.int64))
+    blocks = list(neardups.met(np.arange(len(sets)), sizes.astype(np.int64), own, flat.astype(np.uint32), place, similarity))
+    return found, [np.concatenate(x) for x in zip(*blocks)]
+
+
+def test_ring_prunes_before_the_whole_distance_and_loses_nothing():
     own = np.random.default_rng(4)
-    x = own.integers(0, 1 << 62, (4_000, neardups.WORDS)).astype(np.uint64)
-    y = x ^ (own.integers(0, 1 << 62, x.shape) & own.integers(0, 1 << 62, x.shape) & own.integers(0, 1 << 62, x.shape)).astype(np.uint64)
-    total = np.bitwise_count(x ^ y).sum(axis=1)
-    assert ((total <= 24) == neardups.chained(x, y, 24)).all()
+    common = own.integers(0, 1 << 63, 4_000).astype(np.uint64)
+    sets = []
+    for k in range(300):
+        # Much in common with everyone, too little to be alike; every third has a near copy of 0.50 to 0.64, some of them long.
+        size = 120 if k % 10 else 1_500
+        base = np.concatenate([own.choice(common, size // 3, replace=False), own.integers(0, 1 << 63, size - size // 3).astype(np.uint64)])
+        sets.append(np.unique(base))
+        if k % 3 == 0:
+            keep = int(len(base) * (0.667 + 0.03 * (k % 5)))
+            sets.append(np.unique(np.concatenate([base[own.permutation(len(base))[:keep]], own.integers(0, 1 << 63, len(base) - keep).astype(np.uint64)])))
+    for similarity in (0.5, 0.6, 0.8):
+        found, (i, j, start) = _posted(sets, similarity)
+        alive, left = neardups.ring(found, i, j, start, similarity)
+        kept = {(min(a, b), max(a, b)) for a, b in zip(i[alive].tolist(), j[alive].tolist())}
+        true = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if len(np.intersect1d(sets[a], sets[b])) >= similarity * len(np.union1d(sets[a], sets[b])) - 1e-9}
+        assert true <= kept and (similarity > 0.6 or len(true) > 50)
+        # The chain does the work: of the pairs that met and aren't alike, it leaves few for the whole distance.
+        rest = np.array([(min(a, b), max(a, b)) not in true for a, b in zip(i.tolist(), j.tolist())])
+        _, left = neardups.ring(found, i[rest], j[rest], start[rest], similarity)
+        assert rest.sum() > 1_000 and left[0] < rest.sum() / 2 and left[neardups.CHAIN - 1] < rest.sum() / 20
+        whole = sum(found.differences(i, j, np.full(len(i), s)) for s in range(neardups.SEGMENTS))
+        within = whole <= found.sizes[i].sum(1) * (1 - similarity) / (1 + similarity) + found.sizes[j].sum(1) * (1 - similarity) / (1 + similarity) + 1e-6
+        assert within[alive].all()
+
+
+def test_hot_triples_are_spread(spark):
+    own = np.random.default_rng(12)
+    part, often, block = own.integers(0, 40, 500), np.full(500, 950), own.integers(0, 1 << 16, 500)
+    at, to = neardups.spread(np.full(500, 7), often, block, 40, 100)
+    where = [set(to[at == k].tolist()) for k in range(500)]
+    assert all(where[a] & where[b] for a in range(0, 500, 7) for b in range(500)) and len(set(to.tolist())) > 20
+    assert (neardups.spread(part, np.zeros(500, np.int64), block, 40, 100)[1] == part).all()
+    words = [f"w{i}" for i in range(400)]
+    base = list(own.choice(words, 60))
+    texts = [" ".join([*base[:k], f"x{k}", f"y{k}", *base[k:]]) for k in range(0, 60, 3)]
+    df = spark.createDataFrame([(f"{i:015x}", t) for i, t in enumerate(texts)], "text_hash string, text string")
+    assert neardups.near_pairs(df, hot=4).count() == neardups.near_pairs(df).count() == 190
 
 
 def test_near_pairs_at_the_threshold(spark):
@@ -107,14 +150,6 @@ def test_near_pairs_at_the_threshold(spark):
     assert got == {(i, i + 1) for i in range(0, 800, 2)}
 
 
-def test_chain_holds_for_budgets_of_their_own():
-    own = np.random.default_rng(6)
-    x = own.integers(0, 1 << 62, (4_000, neardups.WORDS)).astype(np.uint64)
-    y = x ^ (own.integers(0, 1 << 62, x.shape) & own.integers(0, 1 << 62, x.shape) & own.integers(0, 1 << 62, x.shape)).astype(np.uint64)
-    total, budget = np.bitwise_count(x ^ y).sum(axis=1), own.integers(40, 90, len(x))
-    assert 0 < (total <= budget).sum() < len(x) and ((total <= budget) == neardups.chained(x, y, budget)).all()
-
-
 def test_small_world_finds_every_key():
     own = np.random.default_rng(5)
     keys = np.unique(own.integers(0, 1 << 63, 5_000).astype(np.uint64) * np.uint64(2))
