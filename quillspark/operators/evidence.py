@@ -13,11 +13,12 @@ LEAST_QUOTE = 8
 def mentions(questions: DataFrame, aliases: DataFrame) -> DataFrame:
     """(question_id, companies): companies whose ticker or alias (company, alias) a question holds as a word of its own, sorted.
 
-    Aliases meet a question by the first word they start with, not all with all; the exact pattern then decides.
+    Aliases meet a question by their longest word (a word like "the" would be a hot key), not all with all; the exact pattern then decides.
     """
-    first = lambda c: F.regexp_extract(F.lower(c), r"[a-z0-9_]+|[^\sa-z0-9_]", 0)
-    names = aliases.where("alias is not null and trim(alias) <> ''").distinct().withColumn("key", first(F.col("alias"))).where("key <> ''")
-    keys = F.array_distinct(F.regexp_extract_all(F.lower("question"), F.lit(r"[a-z0-9_]+|[^\sa-z0-9_]"), F.lit(0)))
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[a-z0-9_]+|[^\sa-z0-9_]"), F.lit(0))
+    longest = F.array_max(F.transform(words("alias"), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    names = aliases.where("alias is not null and trim(alias) <> ''").select("company", "alias").distinct().withColumn("key", longest).where("key is not null")
+    keys = F.array_distinct(words("question"))
     asked = questions.select("question_id", "question", F.explode(keys).alias("key"))
     hit = asked.join(names.withColumn("pattern", boundary_pattern(F.col("alias"))), "key").where("question rlike pattern")
     found = hit.groupBy("question_id").agg(F.array_sort(F.collect_set("company")).alias("companies"))

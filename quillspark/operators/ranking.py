@@ -25,8 +25,8 @@ SLICE, STRIP = 2_048, 256
 
 
 def corpus(chunks: DataFrame, documents: DataFrame) -> DataFrame:
-    """One row a chunk with what ranking needs of its document; chunks of no document are left out, repeated ones count once."""
-    docs = documents.where("id is not null").groupBy("id").agg(F.min_by(F.struct("company", "title", "category", "publication_date"), "doc_id").alias("d")).select(F.col("id").alias("document_id"), "d.*")
+    """One row a chunk with what ranking needs of its document's last delivery; chunks of no document are left out, repeated ones count once."""
+    docs = documents.where("id is not null").groupBy("id").agg(F.max_by(F.struct("company", "title", "category", "publication_date"), "doc_id").alias("d")).select(F.col("id").alias("document_id"), "d.*")
     own = chunks.where("id is not null").dropDuplicates(["id"]).select(F.col("id").alias("chunk_id"), "document_id", "ordinal", "text", "text_hash")
     return own.join(docs, "document_id")
 
@@ -102,7 +102,8 @@ def in_blocks(questions: DataFrame, what: str, ask) -> DataFrame:
 def bm25(questions: DataFrame, rows: DataFrame, keep: Column | None = None, most: int = LIST_SIZE, group: str | None = None) -> DataFrame:
     """(question_id, chunk_id, score, rank). Corpus statistics are those of all rows, whatever keep filters.
 
-    Questions are asked in blocks. A chunk's token list is cut to the block's terms; every task keeps its own best.
+    Questions are asked in blocks. A chunk's token list is cut to the block's terms; every task keeps its own best. A term of several tokens counts where
+    they follow one another in the title or in the text.
     """
     by = [group] if group else []
     title, body = tokens(F.concat_ws(" ", "company", "title")), tokens(F.col("text"))
@@ -118,7 +119,16 @@ def bm25(questions: DataFrame, rows: DataFrame, keep: Column | None = None, most
         at = {t: i for i, t in enumerate(wanted)}
         # Parts are summed in the order of the terms.
         terms = [sorted(at[t] for t in asked[i]) for i in ids]
-        of = lambda c: F.filter(c, lambda w: w.isin(wanted))
+        phrases = [t for t in wanted if " " in t]
+
+        def of(c):
+            found = [F.filter(c, lambda w: w.isin(wanted))]
+            for t in phrases:
+                # Tokens between marks of their own, so that phrases may overlap.
+                line = F.concat(F.lit("\1"), F.array_join(c, "\1\1"), F.lit("\1"))
+                found.append(F.array_repeat(F.lit(t), F.regexp_count(line, F.lit("(?=\1" + t.replace(" ", "\1\1") + "\1)"))))
+            return F.concat(*found) if phrases else found[0]
+
         cut = stage(sized.select("chunk_id", *by, F.coalesce("keep", F.lit(False)).alias("keep"), (F.size("tt") + F.size("bt")).alias("len"), of("tt").alias("tt"), of("bt").alias("bt")), "cut")
         stats = cut.agg(F.count("*").alias("n"), F.avg("len").alias("avg")).first()
         df = {r.term: r.df for r in cut.select(F.explode(F.array_distinct(F.concat("tt", "bt"))).alias("term")).groupBy("term").agg(F.count("*").alias("df")).collect()}

@@ -57,7 +57,7 @@ def still_pending(pending: DataFrame, done: DataFrame) -> DataFrame:
 def representatives(documents: DataFrame, most: int = 2) -> DataFrame:
     """(company, title, place): titles that stand for a company, filings first."""
     order = Window.partitionBy("company").orderBy(F.when(F.col("category").like("sec_%"), 0).otherwise(1), "doc_id")
-    return documents.select("company", "title", "category", "doc_id").withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("company", "title", "place")
+    return latest(documents).select("company", "title", "category", "doc_id").withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("company", "title", "place")
 
 
 def latest(documents: DataFrame, key: str = "id", newest: str = "doc_id") -> DataFrame:

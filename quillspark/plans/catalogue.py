@@ -70,7 +70,7 @@ def _query(sql: str | None = None):
 
 
 _C = "c AS (SELECT DISTINCT * FROM chunks WHERE id IS NOT NULL)"
-_D = "d AS (SELECT * FROM documents QUALIFY row_number() OVER (PARTITION BY id ORDER BY doc_id) = 1)"
+_D = "d AS (SELECT * FROM documents WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY doc_id DESC) = 1)"
 _LATEST = "d AS (SELECT * FROM documents QUALIFY row_number() OVER (PARTITION BY id ORDER BY doc_id DESC) = 1)"
 _V = "v AS (SELECT text_hash, max(vector) AS vector FROM vector_cache WHERE vector IS NOT NULL AND len(vector) = 64 AND len(list_filter(vector, lambda x: x IS NOT NULL AND isfinite(x))) = 64 AND len(list_filter(vector, lambda x: x <> 0)) > 0 GROUP BY 1)"
 
@@ -108,7 +108,7 @@ def text_hashes(spark, d):
     return store.once(_t(spark, d, "chunks"), "id").select(F.col("id").alias("chunk_id"), own.alias("computed"), (own == F.col("text_hash")).alias("agrees"))
 
 
-@_query("SELECT company, title, place::INT AS place FROM (SELECT company, title, row_number() OVER (PARTITION BY company ORDER BY CASE WHEN category LIKE 'sec_%' THEN 0 ELSE 1 END, doc_id) AS place FROM documents) WHERE place <= 2")
+@_query(f"WITH {_D} SELECT company, title, place::INT AS place FROM (SELECT company, title, row_number() OVER (PARTITION BY company ORDER BY CASE WHEN category LIKE 'sec_%' THEN 0 ELSE 1 END, doc_id) AS place FROM d) WHERE place <= 2")
 def title_representatives(spark, d):
     return store.representatives(_t(spark, d, "documents"))
 
@@ -143,15 +143,20 @@ _BATCH_P = f"SELECT c.id AS question_id, vector AS probe FROM c JOIN v ON v.text
 
 def _bm25_sql(where: str = "true", by: str = "question_id", asked: str | None = None) -> str:
     asked = asked or "VALUES " + ", ".join(f"({i}, '{q}')" for i, q in QUESTIONS)
-    stop = ", ".join(f"'{w}'" for w in tx.STOP_WORDS)
-    fold = lambda x: f"translate(lower({x}), '{tx.MARKED}', '{tx.FOLDED}')"
+    letters = "àáâãäåāăąçćĉċčďèéêëēĕėęěĝğġģĥìíîïĩīĭįĵķĺļľñńņňòóôõöōŏőŕŗřśŝşšţťùúûüũūŭůűųŵýÿŷźżž", "aaaaaaaaacccccdeeeeeeeeegggghiiiiiiiijklllnnnnoooooooorrrssssttuuuuuuuuuuwyyyzzz"
+    fold = lambda x: f"regexp_replace(translate(lower({x}), '{letters[0]}ς', '{letters[1]}σ'), '[\u0300-\u0362]', '', 'g')"
+    token = "[\\p{L}\\p{N}\\p{Co}]+"
     return f"""{_C}, {_D}, q(question_id, question) AS ({asked}),
-w AS (SELECT question_id, unnest(regexp_extract_all(lower(question), '[\\p{{L}}\\p{{N}}_]+')) AS w FROM q),
-terms AS (SELECT DISTINCT question_id::BIGINT AS question_id, {fold('w')} AS term FROM w WHERE w NOT IN ({stop})),
-r AS (SELECT c.id AS chunk_id, d.company, d.title, d.category, d.publication_date, c.document_id, c.text_hash, c.text, regexp_extract_all({fold("d.company || ' ' || d.title")}, '[\\p{{L}}\\p{{N}}\\p{{Co}}]+') AS tt, regexp_extract_all({fold('c.text')}, '[\\p{{L}}\\p{{N}}\\p{{Co}}]+') AS bt FROM c JOIN d ON d.id = c.document_id),
+w0 AS (SELECT question_id, regexp_extract_all(lower(question), '[\\p{{L}}\\p{{N}}_]+') AS ws FROM q),
+w1 AS (SELECT question_id, unnest(list_filter(ws, lambda w, i: list_position(ws, w) = i AND w NOT IN ('the', 'a', 'an', 'of', 'in', 'to', 'for', 'and', 'or', 'is', 'was', 'were', 'what', 'how', 'did', 'does', 'by', 'with', 'on', 'as', 'its', 'it', 'at', 'from'))[1:40]) AS w FROM w0),
+terms AS (SELECT question_id::BIGINT AS question_id, array_to_string(regexp_extract_all({fold('w')}, '{token}'), ' ') AS term FROM w1),
+r AS (SELECT c.id AS chunk_id, d.company, d.title, d.category, d.publication_date, c.document_id, c.text_hash, c.text, regexp_extract_all({fold("concat_ws(' ', d.company, d.title)")}, '{token}') AS tt, coalesce(regexp_extract_all({fold('c.text')}, '{token}'), []) AS bt FROM c JOIN d ON d.id = c.document_id),
 s AS (SELECT count(*) AS rows_n, avg(len(tt) + len(bt)) AS avg_len FROM r),
 u AS (SELECT chunk_id, len(tt) + len(bt) AS len, unnest(list_concat(list_transform(tt, lambda x: {{'t': x, 'w': 2.0::DOUBLE}}), list_transform(bt, lambda x: {{'t': x, 'w': 1.0::DOUBLE}}))) AS h FROM r),
-f AS (SELECT chunk_id, len, h.t AS term, sum(h.w) AS f FROM u WHERE h.t IN (SELECT term FROM terms) GROUP BY 1, 2, 3),
+ph AS (SELECT DISTINCT term, chr(1) || replace(term, ' ', chr(1) || chr(1)) || chr(1) AS m FROM terms WHERE contains(term, ' ')),
+lines AS (SELECT chunk_id, len(tt) + len(bt) AS len, chr(1) || array_to_string(tt, chr(1) || chr(1)) || chr(1) AS lt, chr(1) || array_to_string(bt, chr(1) || chr(1)) || chr(1) AS lb FROM r WHERE EXISTS (FROM ph)),
+fp AS (SELECT chunk_id, len, term, (2.0::DOUBLE * (length(lt) - length(replace(lt, m, ''))) + length(lb) - length(replace(lb, m, ''))) / length(m) AS f FROM lines, ph WHERE contains(lt, m) OR contains(lb, m)),
+f AS (SELECT chunk_id, len, h.t AS term, sum(h.w) AS f FROM u WHERE h.t IN (SELECT term FROM terms) GROUP BY 1, 2, 3 UNION ALL SELECT * FROM fp),
 n AS (SELECT term, count(*) AS df FROM f GROUP BY 1),
 i AS (SELECT term, CASE WHEN ln((rows_n - df + 0.5) / (df + 0.5)) > 0 THEN ln((rows_n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END AS idf, avg_len FROM n, s),
 b AS (SELECT question_id, f.chunk_id, round(sum(idf * f * 2.2 / (f + 1.2 * (1 - 0.75 + 0.75 * len / avg_len)) ORDER BY terms.term), 6) AS score FROM f JOIN i USING (term) JOIN terms USING (term) GROUP BY 1, 2),
@@ -168,6 +173,15 @@ def bm25_filtered(spark, d):
     return ranking.bm25(_questions(spark), _rows(spark, d), ranking.passes(COMPANIES, last=LAST))
 
 
+# Words that fold to one token, and words that are a phrase of tokens.
+PHRASES = [(1, "Prévision prevision annuelle"), (2, "cash_flow outside_the home market"), (3, "The FREE_CASH flow, its été and ete"), (4, "Élan ÉLAN e_lan _ __")]
+
+
+@_query(f"WITH {_bm25_sql(asked='VALUES ' + ', '.join(f'({i}, {chr(39)}{q}{chr(39)})' for i, q in PHRASES))} SELECT * FROM lex")
+def bm25_phrases(spark, d):
+    return ranking.bm25(spark.createDataFrame(PHRASES, "question_id bigint, question string"), _rows(spark, d))
+
+
 def _dense_sql(where: str = "true", asked: str = "SELECT row_number() OVER (ORDER BY text_hash) AS question_id, vector AS probe FROM (SELECT * FROM v ORDER BY text_hash LIMIT 5)") -> str:
     return f"""{_V}, pr AS ({asked}),
 den0 AS (SELECT question_id, c.id AS chunk_id, round(list_cosine_similarity(vector::DOUBLE[], probe::DOUBLE[]), 6) AS score FROM c JOIN d ON d.id = c.document_id JOIN v ON v.text_hash = c.text_hash, pr WHERE {where}),
@@ -364,9 +378,23 @@ def clean_text(spark, d):
     return _t(spark, d, "documents").select("doc_id", F.sha2(tx.clean(F.col("text")), 256).alias("cleaned"))
 
 
-@_query()
+_SPACE = "[\\s\\x0B\\x1c-\\x1f\\x85\\p{Z}]"
+
+
+@_query(f"""WITH RECURSIVE t AS (SELECT doc_id, regexp_replace(regexp_replace(replace(replace(replace(text, chr(0), ''), chr(13), ''), chr(160), ' '), '\\n[ \\t]*\\n(?:[ \\t]*\\n)+', chr(10) || chr(10), 'g'), '^{_SPACE}+|{_SPACE}+$', '', 'g') AS x FROM documents),
+h AS (SELECT doc_id, x, instr(x, chr(10) || '[Rows]' || chr(10)) AS pos FROM t WHERE x <> ''),
+b AS (SELECT doc_id, CASE WHEN pos = 0 THEN '' ELSE substr(x, 1, least(pos - 1, 866)) || chr(10) || '[Rows]' || chr(10) END AS prefix, CASE WHEN pos > 0 AND pos - 1 <= 866 THEN substr(x, pos + 8) ELSE x END AS body FROM h),
+z AS (SELECT doc_id, prefix, body, length(body) AS n, 2600 - length(prefix) AS room FROM b),
+cuts AS (SELECT doc_id, 0::BIGINT AS start, 0::BIGINT AS stop, 0 AS k FROM z WHERE n > 0
+UNION ALL SELECT doc_id, s, e, k + 1 FROM (SELECT doc_id, k, s, CASE WHEN s + room >= n THEN n WHEN contains(half, chr(10)) THEN s + room // 2 + length(regexp_extract(half, '(?s)^(.*)\\n', 1)) WHEN contains(half, ' ') THEN s + room // 2 + length(regexp_extract(half, '(?s)^(.*) ', 1)) ELSE s + room END AS e
+FROM (SELECT doc_id, k, n, room, s, substr(body, s + room // 2 + 1, room - room // 2) AS half FROM (SELECT c.doc_id, c.k, z.n, z.room, z.body, CASE WHEN c.k = 0 THEN 0 WHEN z.prefix <> '' THEN c.stop WHEN regexp_matches(substr(z.body, greatest(c.start + 1, c.stop - 250), 1), '{_SPACE}') THEN greatest(c.start + 1, c.stop - 250)
+WHEN instr(substr(z.body, greatest(c.start + 1, c.stop - 250) + 1, c.stop - greatest(c.start + 1, c.stop - 250)), ' ') > 0 THEN greatest(c.start + 1, c.stop - 250) + instr(substr(z.body, greatest(c.start + 1, c.stop - 250) + 1, c.stop - greatest(c.start + 1, c.stop - 250)), ' ') ELSE c.stop END AS s
+FROM cuts c JOIN z ON z.doc_id = c.doc_id WHERE c.stop < z.n OR c.k = 0) WHERE s < n))),
+p AS (SELECT c.doc_id, c.k, z.prefix, regexp_replace(substr(z.body, c.start + 1, c.stop - c.start), '^{_SPACE}+|{_SPACE}+$', '', 'g') AS piece FROM cuts c JOIN z ON z.doc_id = c.doc_id WHERE c.k > 0),
+o AS (SELECT doc_id, prefix || piece AS text, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS i FROM p WHERE piece <> '')
+SELECT doc_id, (i - 1)::INT AS ordinal, text, 'text, part ' || i AS locator, sha256(text) AS text_hash FROM o UNION ALL SELECT doc_id, 0, prefix, 'text', sha256(prefix) FROM z WHERE n = 0""")
 def chunk_documents(spark, d):
-    return chunking.chunked(_t(spark, d, "documents").select("doc_id", F.lit(0).alias("place"), "text", F.lit("text").alias("locator")))
+    return chunking.chunked(_t(spark, d, "documents").select("doc_id", F.array(F.struct("text", F.lit("text").alias("locator"))).alias("segments")))
 
 
 _OLD_NEW = "o AS (SELECT id, max(fingerprint) AS f FROM documents WHERE batch_no <= 4 GROUP BY 1), n AS (SELECT id, max(fingerprint) AS f FROM documents WHERE batch_no >= 2 GROUP BY 1)"
@@ -425,10 +453,19 @@ def publication_days(spark, d):
     return _t(spark, d, "documents").select("doc_id", tx.day_number(F.col("publication_date")).alias("publication_day"))
 
 
-@_query("SELECT doc_id, CASE WHEN NOT regexp_full_match(p, '\\d{4}(-\\d{2})?') THEN p END AS day, CASE WHEN regexp_full_match(p, '\\d{4}(-\\d{2})?') THEN p END AS period FROM (SELECT doc_id, publication_period AS p FROM documents)")
+_PARTIAL = "regexp_full_match({0}, '\\d{{4}}(-\\d{{2}})?') AND try_cast({0} || CASE WHEN length({0}) = 4 THEN '-01-01' ELSE '-01' END AS DATE) IS NOT NULL"
+
+
+@_query(f"""WITH u AS (SELECT doc_id, 'date' AS kind, publication_date AS p FROM documents UNION ALL SELECT doc_id, 'period', publication_period FROM documents UNION ALL SELECT doc_id, 'month', substr(publication_date, 1, 7) FROM documents
+UNION ALL SELECT doc_id, 'broken', substr(publication_date, 1, 5) || '13' FROM documents)
+SELECT doc_id, kind, CASE WHEN NOT ({_PARTIAL.format('p')}) THEN p END AS day, CASE WHEN {_PARTIAL.format('p')} THEN p END AS period FROM u""")
 def demoted_dates(spark, d):
-    day, period = tx.demoted(F.col("publication_period"))
-    return _t(spark, d, "documents").select("doc_id", day.alias("day"), period.alias("period"))
+    docs = _t(spark, d, "documents")
+    date = F.col("publication_date")
+    kinds = {"date": date, "period": F.col("publication_period"), "month": F.substring(date, 1, 7), "broken": F.concat(F.substring(date, 1, 5), F.lit("13"))}
+    long = docs.select("doc_id", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), v.alias("p")) for k, v in kinds.items()))).alias("x")).select("doc_id", "x.*")
+    day, period = tx.demoted(F.col("p"))
+    return long.select("doc_id", "kind", day.alias("day"), period.alias("period"))
 
 
 @_query("SELECT doc_id, '/bundle/' || lower(company) || '.tar.gz:' || replace(path, root || '/', '') AS path FROM documents")

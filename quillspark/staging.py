@@ -41,6 +41,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard_at_exit(spark: SparkSession, path: str) -> str:
+    """Marks a folder, of an index built for one query, for removal when the process ends."""
+    if not _STAGED:
+        atexit.register(clear)
+    _STAGED.append((spark, path))
+    return path
+
+
 def clear() -> None:
     """Deletes every staged table of this process."""
     while _STAGED:
