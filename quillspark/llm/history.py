@@ -1,33 +1,43 @@
-"""Deduplicating new batches against all history (problem 3): shards of a navigable small-world graph.
+"""Deduplicating new batches against all history (problem 3): a lasting index of small-world graph shards, one segment a batch.
 
 What makes two documents duplicates is a shared key: a content hash, a fingerprint, or one of a document's rarest chunk hashes (two sets that share
-more than half of both must share one of the rarer half of each, whatever the order of rarity). Keys are points on a ring. A shard holds the keys
-of one history segment in one arc of the ring as a small-world graph: each point is linked to its neighbours on the ring and, at distances drawn
-with density 1 / distance, to far ones. A search walks greedily with a beam, which is widened until a sample of every shard's own queries agrees
-with exhaustive search. What it finds is ranked again by exact comparison.
+more than half of both must share one of the rarer half of each, in any order that is the same for all). Keys are points on a ring of 64 bits. A
+segment of the index holds the keys of a batch, cut into arcs of the ring; the shard of an arc is a small-world graph: each point is linked to its
+neighbours on the ring and, at distances drawn with density 1 / distance, to far ones. A search walks greedily with a beam, which is widened until a
+sample of every shard's own queries agrees with exhaustive search. What it finds is ranked again by exact comparison.
 
-No index is kept: every run builds all shards anew over the whole history, labelled as if every ``COMPACT_EVERY`` batches had been merged.
+``HistoryIndex`` keeps the segments in a folder that all executors share. ``add_batch`` reads the batch and the index, never the documents or chunks of
+earlier batches, and writes one segment; after every ``COMPACT_EVERY`` batches their segments are merged by ``compact``. The order of rarity is fixed
+with the first batch (frequent hashes last), so that keys of all batches agree. A manifest written last names what belongs to the index; a batch that
+was broken off leaves nothing behind that it names.
 
 An embedding of whole chunk sets was not used: unrelated sets are all equally far apart, which gives a graph nothing to navigate by.
 
 Defined results: hashes compare as hexadecimal digits; null or empty ones equal nothing; documents without chunks have only their two hashes; a
-null batch_no counts as 0; repeated rows of a doc_id or chunk count once; extra columns are ignored.
+null batch_no counts as 0; repeated rows of a doc_id or chunk count once; extra columns are ignored; an empty batch adds an empty segment.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.staging import stage
+from quillspark.staging import discard_at_exit, shared_dir, stage
 
 SHARD_KEYS = 8_192
 NEAR, FAR = 4, 12
 FIRST_BEAM, MOST_BEAM = 2, 256
 SAMPLE_EVERY = 20
 COMPACT_EVERY = 4
+#: A hash in more than this share of the first batch's sets (and in this number) is frequent.
+FREQUENT_SHARE, FREQUENT_LEAST = 1e-3, 8
+#: Documents of one key that one task is to pair with others.
+DOCS_A_TASK = 2_000
 
 
 # --- one shard ---------------------------------------------------------------------------------------------------------------------------------
@@ -70,15 +80,28 @@ def exhaustive(keys: np.ndarray, queries: np.ndarray) -> np.ndarray:
     return np.array([_away(keys, np.arange(len(keys)), x).min() for x in queries], np.uint64)
 
 
-def tuned_search(keys: np.ndarray, links: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, int]:
-    """Beam search with the narrowest beam, doubled from FIRST_BEAM, that finds all a sample of the queries should."""
+def tuned_search(keys: np.ndarray, links: np.ndarray, queries: np.ndarray, most_beam: int = MOST_BEAM) -> tuple[np.ndarray, int]:
+    """Beam search with the narrowest beam, doubled from FIRST_BEAM, that finds all a sample of the queries should.
+
+    Neighbours on the ring are linked, so that a search always comes closer until it is at the nearest point. Where the sample still misses at the
+    widest beam, the shard is searched exhaustively (beam 0).
+    """
     sample = np.unique(queries[::SAMPLE_EVERY])[:64]
     target, beam = exhaustive(keys, sample), FIRST_BEAM
-    while beam < MOST_BEAM and (_away(keys, beam_search(keys, links, sample, beam), sample) > target).any():
+    while (_away(keys, beam_search(keys, links, sample, beam), sample) > target).any():
         beam *= 2
+        if beam > most_beam:
+            return nearest_of_all(keys, queries), 0
     return np.concatenate([beam_search(keys, links, queries[i : i + 4_096], beam) for i in range(0, len(queries), 4_096)]), beam
 
 
+def nearest_of_all(keys: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """The nearest point of each query among all sorted points."""
+    right = np.searchsorted(keys, queries) % len(keys)
+    left = right - 1
+    return np.where(_away(keys, left, queries) < _away(keys, right, queries), left, right) % len(keys)
+
+
 # --- keys --------------------------------------------------------------------------------------------------------------------------------------
 
 
@@ -89,97 +112,183 @@ def hex_digits(column) -> object:
     return F.when(F.length(digits) > 0, F.when(F.length(digits) > 64, F.substring(digits, -64, 64)).otherwise(digits))
 
 
-def segment_of(batch):
-    """The segment a batch lies in once all scheduled compactions are done: 0 the accepted history, then one for every COMPACT_EVERY batches."""
-    return F.when(batch <= 0, 0).otherwise(F.floor((batch - 1) / COMPACT_EVERY) + 1).cast("int")
-
-
-def _prefixes(sets: DataFrame, members: DataFrame) -> DataFrame:
-    """(set_id, key text): the rarer half of each set's hashes, rarity being the number of distinct sets that hold a hash."""
-    many = members.groupBy("text_hash").agg(F.count("*").alias("df"))
-    ranked = members.join(many, "text_hash").groupBy("set_id").agg(F.array_sort(F.collect_list(F.struct("df", "text_hash"))).alias("own"))
-    return ranked.select("set_id", F.explode(F.slice("own", 1, F.ceil(F.size("own") / 2).cast("int"))).alias("x")).select("set_id", F.col("x.text_hash").alias("text_hash"))
+def delivered(documents: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(batch, doc_id, ch, fp, own): each document once, with its two hashes as digits and its sorted distinct chunk hashes."""
+    docs = documents.where("doc_id is not null").select("doc_id", "id", F.greatest(F.lit(0), F.coalesce("batch_no", F.lit(0))).alias("batch"), hex_digits(F.col("content_hash")).alias("ch"), hex_digits(F.col("fingerprint")).alias("fp")).dropDuplicates(["doc_id"])
+    hashes = chunks.where("document_id is not null and text_hash is not null").select(F.col("document_id").alias("id"), hex_digits(F.col("text_hash")).alias("h")).where("h is not null").distinct()
+    sets = hashes.groupBy("id").agg(F.array_sort(F.collect_set("h")).alias("own"))
+    return docs.join(sets, "id", "left").select("batch", "doc_id", "ch", "fp", "own")
+
+
+def _arc(key, arcs: int):
+    """The arc of the ring a key lies in; arcs is a power of two."""
+    return F.shiftrightunsigned(key, 64 - (arcs.bit_length() - 1)) if arcs > 1 else F.lit(0).cast("bigint")
+
+
+GRAPH = "arc bigint, keys binary, links binary"
+
+
+def _build(pdf: pd.DataFrame) -> pd.DataFrame:
+    keys = np.unique(pdf.key.to_numpy().view(np.uint64))
+    return pd.DataFrame({"arc": pdf.arc.iloc[:1], "keys": [keys.tobytes()], "links": [build_graph(keys).tobytes()]})
+
+
+class HistoryIndex:
+    """A lasting index in a folder. ``segments`` has, by number, the first and last batch, the arcs and where the parts lie."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.version, self.segments, self.members, self.sets = 0, [], [], []
+        kept = self._versions()
+        if kept:
+            self.version = kept[-1]
+            state = json.loads("".join(r.value for r in spark.read.text(f"{self.path}/manifest-{self.version}").collect()))
+            self.segments, self.members, self.sets = state["segments"], state["members"], state["sets"]
+
+    def _versions(self) -> list[int]:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        files = where.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not files.exists(where):
+            return []
+        done = [s.getPath() for s in files.listStatus(where) if s.getPath().getName().startswith("manifest-")]
+        mark = lambda p: self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")
+        return sorted(int(p.getName().split("-")[1]) for p in done if files.exists(mark(p)))
+
+    def _commit(self) -> None:
+        self.version += 1
+        text = json.dumps({"segments": self.segments, "members": self.members, "sets": self.sets})
+        self.spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/manifest-{self.version}")
+
+    def _write(self, df: DataFrame, name: str) -> str:
+        where = f"{self.path}/{name}-{uuid.uuid4().hex[:12]}"
+        df.write.option("compression", "zstd").parquet(where)
+        return where
+
+    def _read(self, paths: list[str], schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def _order(self, own: DataFrame) -> DataFrame:
+        """(h, df) of the hashes that were frequent in the first batch."""
+        where = f"{self.path}/frequent"
+        if not self.segments:
+            total = own.count()
+            least = max(FREQUENT_LEAST, int(FREQUENT_SHARE * total))
+            own.select(F.explode("own").alias("h")).groupBy("h").agg(F.count("*").alias("df")).where(F.col("df") > least).write.mode("overwrite").parquet(where)
+        return self.spark.read.schema("h string, df bigint").parquet(where)
+
+    def _posted(self, entities: DataFrame, sets: DataFrame) -> DataFrame:
+        """(key, entity): a hash's own key, and those of the rarer half of each set's hashes."""
+        frequent = self._order(sets)
+        ranked = sets.select("entity", F.explode("own").alias("h")).join(frequent, "h", "left").groupBy("entity").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "h"))).alias("own"))
+        first = ranked.select("entity", F.explode(F.slice("own", 1, F.ceil(F.size("own") / 2).cast("int"))).alias("x"))
+        one = entities.where("not startswith(entity, 's')").select(F.xxhash64("entity").alias("key"), "entity")
+        return one.unionByName(first.select(F.xxhash64(F.concat(F.lit("t"), "x.h")).alias("key"), "entity"))
+
+    def _graph(self, keys: DataFrame) -> tuple[str, int]:
+        distinct = keys.select("key").distinct()
+        need = -(-distinct.count() // SHARD_KEYS)
+        arcs = 1 << max(0, need - 1).bit_length() if need > 1 else 1
+        return self._write(distinct.withColumn("arc", _arc(F.col("key"), arcs)).groupBy("arc").applyInPandas(_build, GRAPH), "graph"), arcs
+
+    def search(self, keys: DataFrame) -> DataFrame:
+        """(key, segment): the segments whose graphs hold a key."""
+        asked = keys.select("key").distinct()
+        asked = asked.select("key", F.explode(F.array(*(F.struct(F.lit(i).alias("segment"), _arc(F.col("key"), s["arcs"]).alias("arc")) for i, s in enumerate(self.segments)))).alias("s")).select("key", "s.*")
+        graph = None
+        for i, s in enumerate(self.segments):
+            part = self._read([s["graph"]], GRAPH).select(F.lit(i).alias("segment"), "*")
+            graph = part if graph is None else graph.unionByName(part)
+
+        def find(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            if len(left) == 0 or len(right) == 0:
+                return pd.DataFrame({"key": np.array([], np.int64), "segment": np.array([], np.int32)})
+            g, own = right.iloc[0], left.key.to_numpy().view(np.uint64)
+            keys = np.frombuffer(g["keys"], np.uint64)
+            at, _ = tuned_search(keys, np.frombuffer(g.links, np.int32).reshape(-1, NEAR + FAR), own)
+            return pd.DataFrame({"key": own[keys[at] == own].view(np.int64), "segment": np.int32(g.segment)})
+
+        return asked.groupBy("segment", "arc").cogroup(graph.groupBy("segment", "arc")).applyInPandas(find, "key bigint, segment int")
+
+    def add_batch(self, batch: DataFrame, number: int) -> DataFrame:
+        """(doc_id, repeats, earlier): documents of a batch (doc_id, ch, fp, own), what they repeat, and whether that was delivered in an earlier batch.
+
+        Batch 0 is accepted history: it is only indexed.
+        """
+        sets = batch.where("own is not null").select(F.concat(F.lit("s"), F.sha2(F.array_join("own", ","), 256)).alias("entity"), "own", "doc_id")
+        kinds = [batch.where("ch is not null").select(F.concat(F.lit("c"), "ch").alias("entity"), "doc_id"), batch.where("fp is not null").select(F.concat(F.lit("f"), "fp").alias("entity"), "doc_id"), sets.select("entity", "doc_id")]
+        members = self._write(kinds[0].unionByName(kinds[1]).unionByName(kinds[2]).select("entity", "doc_id", F.lit(number).alias("batch")), "members")
+        distinct = self._write(sets.groupBy("entity").agg(F.first("own").alias("own")), "sets")
+        own_members, own_sets = self._read([members], MEMBERS), self._read([distinct], SETS)
+        posted = self._write(self._posted(own_members.select("entity").distinct(), own_sets), "posted")
+        keyed = self._read([posted], POSTED)
+        graph, arcs = self._graph(keyed)
+        self.segments.append({"first": number, "last": number, "arcs": arcs, "graph": graph, "posted": posted})
+        self.members.append(members)
+        self.sets.append(distinct)
+        found = None if number == 0 else stage(self._repeats(keyed, own_members, own_sets), "repeats")
+        self._commit()
+        if len(new := [i for i, s in enumerate(self.segments) if s["first"] == s["last"] > 0]) >= COMPACT_EVERY:
+            self.compact(new)
+        return found if found is not None else self.spark.createDataFrame([], REPEATS)
+
+    def _repeats(self, keyed: DataFrame, own_members: DataFrame, own_sets: DataFrame) -> DataFrame:
+        posted = None
+        for i, s in enumerate(self.segments):
+            part = self._read([s["posted"]], POSTED).select("key", F.col("entity").alias("b"), F.lit(i).alias("segment"))
+            posted = part if posted is None else posted.unionByName(part)
+        near = self.search(keyed).join(keyed.withColumnRenamed("entity", "a"), "key").join(posted, ["key", "segment"]).select("a", "b").distinct()
+        # Exact ranking of what was found: content and fingerprint keys name one entity; sets are compared.
+        same = near.where("a = b")
+        every = self._read(self.sets, SETS).dropDuplicates(["entity"])
+        one, two = own_sets.select(F.col("entity").alias("a"), F.col("own").alias("own_a")), every.select(F.col("entity").alias("b"), F.col("own").alias("own_b"))
+        shared = F.size(F.array_intersect("own_a", "own_b"))
+        alike = near.where("a <> b and startswith(a, 's') and startswith(b, 's')").join(one, "a").join(two, "b").where((2 * shared > F.size("own_a")) & (2 * shared > F.size("own_b"))).select("a", "b")
+        linked = same.unionByName(alike)
+        # Documents of hot keys are paired in pieces: each piece of the new ones with each piece of all.
+        all_members = self._read(self.members, MEMBERS)
+        sizes = all_members.groupBy("entity").agg((F.floor(F.count("*") / DOCS_A_TASK) + 1).cast("int").alias("pieces"))
+        left = linked.join(own_members.select(F.col("entity").alias("a"), F.col("doc_id").alias("x"), F.col("batch").alias("bx")), "a").join(sizes.withColumnRenamed("entity", "b"), "b").withColumn("piece", F.pmod(F.xxhash64("x"), F.col("pieces")).cast("int")).select("b", "x", "bx", "piece")
+        right = all_members.join(sizes, "entity").select(F.col("entity").alias("b"), F.col("doc_id").alias("y"), F.col("batch").alias("by"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
+        pairs = left.join(right, ["b", "piece"]).where((F.col("x") != F.col("y")) & ((F.col("by") < F.col("bx")) | (F.col("x") > F.col("y"))))
+        return pairs.select(F.col("x").alias("doc_id"), F.col("y").alias("repeats"), (F.col("by") < F.col("bx")).alias("earlier")).distinct()
+
+    def compact(self, which: list[int]) -> None:
+        """Merges segments into one: their postings, and graphs built anew from the keys of the old ones. Nothing but the index is read."""
+
+        def points(batches):
+            for pdf in batches:
+                for k in pdf["keys"]:
+                    yield pd.DataFrame({"key": np.frombuffer(k, np.int64)})
+
+        old = [self.segments[i] for i in which]
+        graph, arcs = self._graph(self._read([s["graph"] for s in old], GRAPH).select("keys").mapInPandas(points, "key bigint"))
+        posted = self._write(self._read([s["posted"] for s in old], POSTED).distinct(), "posted")
+        merged = {"first": min(s["first"] for s in old), "last": max(s["last"] for s in old), "arcs": arcs, "graph": graph, "posted": posted}
+        self.segments = sorted([s for i, s in enumerate(self.segments) if i not in which] + [merged], key=lambda s: s["first"])
+        self._commit()
+
+
+MEMBERS, SETS, POSTED, REPEATS = "entity string, doc_id bigint, batch int", "entity string, own array<string>", "key bigint, entity string", "doc_id bigint, repeats bigint, earlier boolean"
+
+
+def repeats_by_batch(documents: DataFrame, chunks: DataFrame, path: str | None = None) -> DataFrame:
+    """(batch_no, doc_id, repeats): each document of batches 1 and later with the documents delivered before it (by batch, then doc_id) that it repeats.
+
+    The deliveries are laid out by batch once; then the batches are added to the index in turn, each reading itself and the index only.
+    """
+    spark = documents.sparkSession
+    path = path or discard_at_exit(spark, f"{shared_dir(spark)}/staged/history-{uuid.uuid4().hex}")
+    laid = f"{path}/delivered"
+    delivered(documents, chunks).repartition("batch", F.pmod(F.xxhash64("doc_id"), F.lit(8))).write.partitionBy("batch").option("compression", "zstd").mode("overwrite").parquet(laid)
+    kept = spark.read.schema("doc_id bigint, ch string, fp string, own array<string>, batch int").parquet(laid)
+    index, out = HistoryIndex(spark, f"{path}/index"), None
+    # The order of rarity is that of the history, even where batch 0 is empty.
+    for number in sorted({0, *(r.batch for r in kept.select("batch").distinct().collect())}):
+        found = index.add_batch(kept.where(F.col("batch") == number).drop("batch"), number).select(F.lit(number).alias("batch_no"), "doc_id", "repeats")
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def repeats(documents: DataFrame, chunks: DataFrame) -> DataFrame:
     """(doc_id_a, doc_id_b), a < b: pairs of documents, not both of batch 0, one of which repeats the other."""
-    docs = documents.where("doc_id is not null").select("doc_id", "id", F.coalesce("batch_no", F.lit(0)).alias("batch"), hex_digits(F.col("content_hash")).alias("ch"), hex_digits(F.col("fingerprint")).alias("fp")).dropDuplicates(["doc_id"])
-    docs = stage(docs, "docs")
-    hashes = chunks.where("document_id is not null and text_hash is not null").select("document_id", hex_digits(F.col("text_hash")).alias("text_hash")).distinct()
-    sets = hashes.groupBy("document_id").agg(F.array_sort(F.collect_set("text_hash")).alias("own")).withColumn("set_id", F.sha2(F.array_join("own", ","), 256))
-    sets = stage(sets, "sets")
-    # Documents of one set are one node; sets none of whose documents is here are none.
-    held = docs.select("id", "doc_id", "batch").join(sets.select(F.col("document_id").alias("id"), "set_id"), "id").select("doc_id", "batch", "set_id")
-    content = docs.where("ch is not null").select("doc_id", "batch", F.concat(F.lit("c"), "ch").alias("entity"))
-    printed = docs.where("fp is not null").select("doc_id", "batch", F.concat(F.lit("f"), "fp").alias("entity"))
-    members = stage(content.unionByName(printed).unionByName(held.select("doc_id", "batch", F.concat(F.lit("s"), "set_id").alias("entity"))), "members")
-    # Each entity's latest batch, and the segments it has documents in.
-    entities = members.groupBy("entity").agg(F.max("batch").alias("latest"), F.collect_set(segment_of(F.col("batch"))).alias("segments"), F.count("*").alias("n"))
-    entities = stage(entities, "entities")
-    distinct = sets.groupBy("set_id").agg(F.first("own").alias("own"))
-    prefix = _prefixes(distinct, distinct.select("set_id", F.explode("own").alias("text_hash")))
-    keyed = entities.where("entity not like 's%'").select("entity", F.xxhash64("entity").alias("key"), "latest", "segments").unionByName(
-        entities.where("entity like 's%'").join(prefix.withColumn("entity", F.concat(F.lit("s"), "set_id")), "entity").select("entity", F.xxhash64(F.concat(F.lit("t"), "text_hash")).alias("key"), "latest", "segments")
-    )
-    keyed = stage(keyed, "keys")
-    found = search_shards(keyed)
-    # Exact ranking of what was found, entity by entity: content and fingerprint keys name one entity; sets are compared.
-    posted = keyed.select("key", F.col("entity").alias("b"), F.explode("segments").alias("segment"))
-    near = found.join(posted, ["key", "segment"]).select(F.col("entity").alias("a"), "b").distinct()
-    same = near.where("a = b and (a like 'c%' or a like 'f%')")
-    one, two = distinct.select(F.concat(F.lit("s"), "set_id").alias("a"), F.col("own").alias("own_a")), distinct.select(F.concat(F.lit("s"), "set_id").alias("b"), F.col("own").alias("own_b"))
-    shared = F.size(F.array_intersect("own_a", "own_b"))
-    alike = near.where("a like 's%' and b like 's%'").join(one, "a").join(two, "b").where((2 * shared > F.size("own_a")) & (2 * shared > F.size("own_b"))).select("a", "b")
-    linked = same.unionByName(alike).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    left, right = members.select(F.col("entity").alias("a"), F.col("doc_id").alias("x"), F.col("batch").alias("bx")), members.select(F.col("entity").alias("b"), F.col("doc_id").alias("y"), F.col("batch").alias("by"))
-    pairs = linked.join(left, "a").join(right, "b").where("x <> y and (bx > 0 or by > 0)")
-    return pairs.select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b")).distinct()
-
-
-GRAPH = "segment int, shard bigint, keys binary, links binary"
-
-
-def build_shards(keyed: DataFrame, shards: int) -> DataFrame:
-    """The graph shards of (key, segments)."""
-
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys = np.unique(pdf.key.to_numpy().view(np.uint64))
-        return pd.DataFrame({"segment": pdf.segment.iloc[:1], "shard": pdf.shard.iloc[:1], "keys": [keys.tobytes()], "links": [build_graph(keys).tobytes()]})
-
-    points = keyed.select("key", F.explode("segments").alias("segment")).distinct().withColumn("shard", F.pmod(F.shiftright("key", 20), F.lit(shards)).cast("bigint"))
-    return points.groupBy("segment", "shard").applyInPandas(build, GRAPH)
-
-
-def search_shards(keyed: DataFrame) -> DataFrame:
-    """(entity, key, segment): the segments in which the graph holds a key of an entity that has documents in later batches."""
-    shards = max(1, -(-keyed.count() // SHARD_KEYS))
-    graph = stage(build_shards(keyed, shards), "graph")
-    queries = keyed.where("latest > 0").select("entity", "key", "latest").withColumn("shard", F.pmod(F.shiftright("key", 20), F.lit(shards)).cast("bigint"))
-    # A key is searched once, whatever number of entities it belongs to.
-    asked = queries.groupBy("shard", "key").agg(segment_of(F.max("latest")).alias("until"))
-
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for g in right.itertuples(index=False):
-            own = left.key[left.until >= g.segment].to_numpy().view(np.uint64)
-            if len(own) == 0:
-                continue
-            keys = np.frombuffer(g.keys, np.uint64)
-            links = np.frombuffer(g.links, np.int32).reshape(-1, NEAR + FAR)
-            at, _ = tuned_search(keys, links, own)
-            hit = keys[at] == own
-            out.append(pd.DataFrame({"key": own[hit].view(np.int64), "segment": np.int32(g.segment)}))
-        return pd.concat(out) if out else pd.DataFrame({"key": np.array([], np.int64), "segment": np.array([], np.int32)})
-
-    hits = asked.groupBy("shard").cogroup(graph.groupBy("shard")).applyInPandas(search, "key bigint, segment int")
-    return queries.select("entity", "key").join(hits, "key")
-
-
-def repeats_by_batch(documents: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(batch_no, doc_id, repeats): each document of batches 1 and later with the documents delivered before it that it repeats."""
-    pairs = repeats(documents, chunks)
-    when = documents.select("doc_id", F.coalesce("batch_no", F.lit(0)).alias("batch")).dropDuplicates(["doc_id"])
-    both = pairs.join(when.select(F.col("doc_id").alias("doc_id_a"), F.col("batch").alias("ba")), "doc_id_a").join(when.select(F.col("doc_id").alias("doc_id_b"), F.col("batch").alias("bb")), "doc_id_b")
-    later = (F.col("bb") > F.col("ba")) | ((F.col("bb") == F.col("ba")) & (F.col("doc_id_b") > F.col("doc_id_a")))
-    own = both.select(F.when(later, F.col("bb")).otherwise(F.col("ba")).alias("batch_no"), F.when(later, F.col("doc_id_b")).otherwise(F.col("doc_id_a")).alias("doc_id"), F.when(later, F.col("doc_id_a")).otherwise(F.col("doc_id_b")).alias("earlier"))
-    return own.select("batch_no", "doc_id", F.col("earlier").alias("repeats"))
+    return repeats_by_batch(documents, chunks).select(F.least("doc_id", "repeats").alias("doc_id_a"), F.greatest("doc_id", "repeats").alias("doc_id_b"))

@@ -24,6 +24,8 @@ LANGUAGES = ("en", "zh", "de", "fr", "es", "pt", "it")
 STRIDE, HIDDEN, WINDOW, CONTEXT = 3, 32, 128, 16
 MOST_CHECKED, MOST_LABELLED = 1_500, 1_500
 STEPS, BATCH, LENGTH = 480, 64, 72
+#: Characters a labelled document has at least for the sample, and bytes whose probabilities are in memory at once.
+LEAST_LABELLED, AT_ONCE = 300, 1 << 20
 LEAST_WORDS, LEAST_CHARS = 12, 20
 #: Neighbouring positions say much the same: the share of a position's log probability that counts, and the price of a change of language.
 EVIDENCE, SWITCH = 0.3, 6.0
@@ -42,12 +44,14 @@ _NAMED = {w: code for code, all_of in NAMES.items() for w in all_of.split()}
 
 
 def named(label: str | None) -> list[str]:
-    """The languages a label names: codes with or without a region, or names, one or several."""
+    """The languages a label names: codes with or without a region, or names, one or several; a name may have other words before it."""
     found = []
     for part in re.split(r"[,;/+&|]|\band\b", (label or "").casefold()):
-        words = re.findall(r"[^\W\d_]+", part)
-        if words and (code := _NAMED.get(words[0])) and code not in found:
-            found.append(code)
+        own = re.findall(r"[^\W\d_]+", part)
+        # After the first word only whole names count: codes are words of other languages too.
+        codes = [c for k, w in enumerate(own) if (c := _NAMED.get(w)) and (k == 0 or len(w) > 3 or not w.isascii())]
+        if codes and codes[0] not in found:
+            found.append(codes[0])
     return found
 
 
@@ -209,7 +213,19 @@ def _agreeing(p: dict[str, np.ndarray], texts: list[tuple[str, int, bool]]) -> l
 
 
 def positions(p: dict[str, np.ndarray], texts: list[str]) -> Iterator[np.ndarray]:
-    """Log probabilities (steps, languages) of whole texts, computed in windows that see CONTEXT steps on either side."""
+    """Log probabilities (steps, languages) of whole texts, of as many at a time as have AT_ONCE bytes."""
+    some, size = [], 0
+    for t in texts:
+        some.append(t)
+        size += len(t)
+        if size >= AT_ONCE:
+            yield from _positions(p, some)
+            some, size = [], 0
+    yield from _positions(p, some)
+
+
+def _positions(p: dict[str, np.ndarray], texts: list[str]) -> Iterator[np.ndarray]:
+    """Log probabilities of whole texts, computed in windows that see CONTEXT steps on either side."""
     windows, owner = [], []
     for i, t in enumerate(texts):
         raw = t.encode()
@@ -316,17 +332,25 @@ def passages(text: str, logs: np.ndarray) -> list[tuple[int, int, int, float]]:
     return best
 
 
+def codes_of(documents: DataFrame) -> DataFrame:
+    """(label, codes) of the distinct labels of documents."""
+
+    def read(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"label": pdf.label, "codes": [named(x) for x in pdf.label]})
+
+    return documents.select(F.col("lang").alias("label")).where("lang is not null").distinct().mapInPandas(read, "label string, codes array<string>")
+
+
 def fit(documents: DataFrame, chunks: DataFrame, labels: DataFrame) -> dict[str, np.ndarray]:
     """A network trained on a bounded sample of labelled rows, the same at any partitioning."""
-    names = F.udf(lambda x: (named(x) or [None])[0] if len(named(x)) == 1 else None, "string")
     one = labels.where("chunk_id is not null and lang is not null").groupBy("chunk_id").agg(F.collect_set("lang").alias("all")).where(F.size("all") == 1).select(F.col("chunk_id").alias("id"), F.element_at("all", 1).alias("lang"))
+    # The ids of a sample are drawn first; only their texts move.
     one = one.orderBy(F.xxhash64("id"), "id").limit(MOST_CHECKED)
-    usable = "text is not null and length(text) > 60 and text not like '%[Rows]%'"
-    checked = chunks.where(usable).join(F.broadcast(one), "id").select("id", "text", "lang").dropDuplicates(["id"]).orderBy("id").collect()
-    spellings = documents.select("lang").distinct()
-    # Labels are few; each is read once.
-    known = spellings.withColumn("code", names("lang")).where("code is not null")
-    sample = documents.where("length(text) between 300 and 20000").join(F.broadcast(known), "lang").select("doc_id", "code", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED).collect()
+    checked = chunks.where("text is not null and text not like '%[Rows]%'").join(F.broadcast(one), "id").select("id", "text", "lang").dropDuplicates(["id"]).orderBy("id").collect()
+    known = codes_of(documents).where("size(codes) = 1").select("label", F.element_at("codes", 1).alias("code"))
+    drawn = documents.where(f"length(text) >= {LEAST_LABELLED}").select("doc_id", F.col("lang").alias("label")).join(known, "label").select("doc_id", "code").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED)
+    sample = documents.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
     rows = [(r.text, LANGUAGES.index(r.lang), True) for r in checked if r.lang in LANGUAGES]
     for r in sample:
         prose = "\n".join(x for x in r.text.split("\n") if " | " not in x and x != "[Rows]")
@@ -363,9 +387,7 @@ def label_passages(documents: DataFrame, chunks: DataFrame, labels: DataFrame) -
 def unnamed(documents: DataFrame, chunks: DataFrame, labels: DataFrame) -> DataFrame:
     """(chunk_id, lang): languages of a chunk's passages that no label of its document names."""
     found = label_passages(documents, chunks, labels).select("chunk_id", "document_id", "lang").distinct()
-    codes = F.udf(named, "array<string>")
-    named_by = documents.select("lang").distinct().withColumn("codes", codes("lang")).select(F.col("lang").alias("label"), "codes")
-    of = documents.where("id is not null").select(F.col("id").alias("document_id"), F.col("lang").alias("label")).distinct().join(named_by, "label").select("document_id", F.explode("codes").alias("lang")).distinct()
+    of = documents.where("id is not null").select(F.col("id").alias("document_id"), F.col("lang").alias("label")).distinct().join(codes_of(documents), "label").select("document_id", F.explode("codes").alias("lang")).distinct()
     return found.join(of, ["document_id", "lang"], "left_anti").select("chunk_id", "lang").distinct()
 
 

@@ -22,7 +22,8 @@ SHARD_BINS = 6_000
 #: Items a shard may hold, whatever their sizes.
 SHARD_ITEMS = 250_000
 TAIL_SHARDS = 64
-MAX_BUDGETS = 1_000
+#: Budgets that one plan handles; more of them make more plans.
+BUDGETS = 200
 
 
 class OpenBins:
@@ -73,12 +74,18 @@ OUT = "budget_id int, capacity int, item bigint, piece int, token_start bigint,
 
 def fill_containers(sizes: DataFrame, budgets: DataFrame, id_col: str = "doc_id", size_col: str = "tokens", open_bins: int = OPEN_BINS, shard_bins: int = SHARD_BINS) -> DataFrame:
     """(budget_id, capacity, id, piece, token_start, tokens, container): each item once per budget, whole unless it exceeds the capacity alone."""
-    rows = budgets.select("budget_id", "capacity").where("capacity >= 1 and budget_id is not null").distinct().orderBy("budget_id", "capacity").limit(MAX_BUDGETS + 1).collect()
-    if len(rows) > MAX_BUDGETS:
-        raise ValueError(f"more than {MAX_BUDGETS} budgets")
+    rows = budgets.select("budget_id", "capacity").where("capacity >= 1 and budget_id is not null").distinct().orderBy("budget_id", "capacity").collect()
     items = sizes.select(F.col(id_col).cast("bigint").alias("item"), F.greatest(F.lit(0), F.coalesce(F.col(size_col).cast("bigint"), F.lit(0))).alias("size"))
     if not rows:
         return items.where("false").selectExpr("cast(null as int) budget_id", "cast(null as int) capacity", f"item as {id_col}", "cast(0 as int) piece", "size token_start", "size tokens", "'' container")
+    out = None
+    for at in range(0, len(rows), BUDGETS):
+        found = _filled(items, rows[at : at + BUDGETS], open_bins, shard_bins).withColumnRenamed("item", id_col)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _filled(items: DataFrame, rows: list, open_bins: int, shard_bins: int) -> DataFrame:
     # The totals decide the number of shards: one row per budget.
     rest = lambda c: F.expr(f"case when size > {c} then size % {c} else size end")
     totals = items.agg(F.count("*").alias("n"), *(F.sum(rest(r.capacity)).alias(f"t{i}") for i, r in enumerate(rows))).first()
@@ -113,4 +120,4 @@ def fill_containers(sizes: DataFrame, budgets: DataFrame, id_col: str = "doc_id"
     one = stage(rests.groupBy("budget_id", "capacity", "shard").applyInPandas(first, OUT), "packed")
     two = one.where("tail").withColumn("shard", F.floor(F.col("shard") / TAIL_SHARDS)).groupBy("budget_id", "capacity", "shard").applyInPandas(second, OUT)
     named = lambda df, kind: df.select("budget_id", "capacity", "item", "piece", "token_start", "tokens", F.concat_ws("-", "budget_id", F.lit(kind), "shard", "bin").alias("container"))
-    return whole.unionByName(named(one.where("not tail"), "s")).unionByName(named(two, "t")).withColumnRenamed("item", id_col)
+    return whole.unionByName(named(one.where("not tail"), "s")).unionByName(named(two, "t"))

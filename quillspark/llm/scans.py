@@ -2,11 +2,13 @@
 
 The editor walks a text and predicts one operation a site: at a line, keep it or delete it as page furniture (by its position on the page, its
 make-up and how its neighbours go on); at a line's end, keep the break, join with a blank, join without, or delete the hyphen mark and join; at
-a word, keep it or replace, delete or insert characters as the scanner's confusions have it. Confusions and weights are learned from the proofs,
-of which at most ``MOST_PROOFS`` are used; how usual words are is counted over all chunks.
+a word, keep its characters, or replace some, delete one or insert one. What may be replaced by what, whether characters get lost or doubled, and all
+weights are learned by aligning the characters of proofs with those of their texts; at most ``MOST_PROOFS`` proofs are used. How usual words are is
+counted over all chunks; a word is only changed into a more usual one.
 
-Defined results: null and empty texts come back as they are; tables (a ``[Rows]`` line) are never edited; repeated rows count once (by id); a text
-without a site at which an operation other than keeping or joining lines wins has no residue and comes back unchanged.
+Defined results: null and empty texts come back as they are; of a table only what stands before its ``[Rows]`` line is edited, and its lines are never
+joined; repeated rows count once (by id); a text without a site at which an operation other than keeping or joining lines wins has no residue and comes
+back unchanged.
 """
 
 from __future__ import annotations
@@ -20,12 +22,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.staging import stage
+
 MOST_PROOFS = 800
-#: Chunks whose locators are not those of pages were never scanned: so many of them serve as examples of lines to keep.
-MOST_UNSCANNED = 600
 EPOCHS = 6
-#: A longer line is never page furniture.
-MOST_FURNITURE = 160
 #: A word is counted as usual from this share of all words on, and from this number.
 USUAL_SHARE, USUAL_LEAST = 1e-6, 3
 
@@ -75,7 +75,9 @@ class Perceptron:
 
 LINE_OPS = ("keep", "delete")
 BREAK_OPS = ("blank", "join", "dehyphen", "break", "paragraph")
-CHAR_OPS = ("same", "edit")
+CHAR_OPS = ("keep", "replace", "delete", "insert")
+#: Letters of a word in which a lost or doubled character can be told.
+LEAST_WORD = 4
 
 
 def _shape(s: str) -> str:
@@ -144,7 +146,12 @@ def char_features(change: tuple[str, str], usual: dict[str, int], word: str, oth
     ratio = min(12, int(math.log2((then + 1) / (now + 0.5)))) if then else -1
     digit = any(c.isdigit() for c in word)
     name = f"{change[0]}>{change[1]}"
-    return ["C", f"C {name}", f"C r {ratio}", f"C wrapped {wrapped}", f"C {name} r {ratio // 3}", f"C wrapped {wrapped} r {ratio // 2}", f"C then {min(12, int(math.log2(then + 1)))}", f"C len {min(len(word), 6)} r {ratio // 3}", f"C now {now > 0} {digit}", f"C times {min(times, 4)}"]
+    op = op_of(change)
+    return ["C", f"C {op}", f"C {op} r {ratio}", f"C {name}", f"C r {ratio}", f"C wrapped {wrapped}", f"C {name} r {ratio // 3}", f"C wrapped {wrapped} r {ratio // 2}", f"C then {min(12, int(math.log2(then + 1)))}", f"C len {min(len(word), 6)} r {ratio // 3}", f"C now {now > 0} {digit}", f"C times {min(times, 4)}"]
+
+
+def op_of(change: tuple[str, str]) -> str:
+    return "insert" if not change[0] else "delete" if not change[1] else "replace"
 
 
 def _garbled(around: str) -> bool:
@@ -158,17 +165,20 @@ class Editor:
         self.model.w = weights
         self.confusions, self.usual = confusions, usual
         self.wide = {w for w in confusions if _CJK.match(w)}
-        self.broken = [w for w in confusions if not w.isalnum()]
+        self.broken = [w for w in confusions if w and not w.isalnum()]
+        # Whether proofs showed characters that got lost, or that are one too many.
+        self.lost, self.doubled = bool(confusions.get("")), any("" in r for w, r in confusions.items() if w)
+        self.longer: dict[str, tuple[int, tuple[str, str], str] | None] = {}
         self.index = self._index()
 
     # --- words -----------------------------------------------------------------------------------------------------------------------------
 
     def _index(self) -> dict[str, tuple[int, tuple[str, str], str]]:
-        """For each form that one confusion, or two, make of a usual word: how usual that is, the (first) confusion, and the word."""
+        """For each form that one replacement, or two, or a lost character make of a usual word: how usual that is, the (first) change, and the word."""
         made: dict[str, list[str]] = defaultdict(list)
         for wrong, rights in self.confusions.items():
             for right in rights:
-                if not _CJK.match(wrong):
+                if wrong and right and not _CJK.match(wrong):
                     made[right.lower()].append(wrong)
         pattern = re.compile("|".join(sorted(map(re.escape, made), key=lambda x: -len(x)))) if made else None
         index: dict[str, tuple[int, tuple[str, str], str]] = {}
@@ -182,42 +192,64 @@ class Editor:
                     at = word.find(right, at + 1)
 
         for word, n in self.usual.items():
-            if pattern is None or len(word) < 2 or "-" in word or word.isdigit() or _CJK.search(word):
+            if len(word) < 2 or "-" in word or word.isdigit() or _CJK.search(word):
+                continue
+            if self.lost and len(word) > LEAST_WORD:
+                for i, c in enumerate(word):
+                    form = word[:i] + word[i + 1 :]
+                    if n > index.get(form, (0,))[0]:
+                        index[form] = (n, ("", c), word)
+            if pattern is None:
                 continue
             for change, form in forms(word):
                 if n > index.get(form, (0,))[0]:
                     index[form] = (n, change, word)
-                if n >= 60 and len(word) > 5:
+                if len(word) > LEAST_WORD:
                     for _, more in forms(form):
                         if n > 3 * index.get(more, (0,))[0]:
                             index[more] = (n, change, word)
         return {f: v for f, v in index.items() if v[2] != f and v[0] > 4 * self.usual.get(f, 0)}
 
-    def other(self, word: str) -> tuple[tuple[str, str], str] | None:
-        """The most usual word that one confusion, or two, may have made this one of."""
-        low = word.lower()
-        found = self.index.get(low)
-        if found is None:
+    def _doubled(self, low: str) -> tuple[int, tuple[str, str], str] | None:
+        """The most usual word that a form is with one character too many."""
+        if not self.doubled or len(low) <= LEAST_WORD or not low.isalpha():
             return None
-        w = found[2]
-        return found[1], w.upper() if word.isupper() and len(word) > 1 else w[:1].upper() + w[1:] if word[:1].isupper() and word[1:2] != word[1:2].upper() else w
+        if low not in self.longer:
+            if len(self.longer) > 300_000:
+                self.longer.clear()
+            best = max(((self.usual.get(low[:i] + low[i + 1 :], 0), i) for i in range(len(low))), default=(0, 0))
+            n, i = best
+            self.longer[low] = (n, (low[i], ""), low[:i] + low[i + 1 :]) if n > 4 * self.usual.get(low, 0) else None
+        return self.longer[low]
+
+    def others(self, word: str) -> list[tuple[tuple[str, str], str]]:
+        """The most usual words that replacements or a lost character, and that a doubled one, may have made this one of."""
+        low, out = word.lower(), []
+        for found in (self.index.get(low), self._doubled(low)):
+            if found is not None:
+                w = found[2]
+                out.append((found[1], w.upper() if word.isupper() and len(word) > 1 else w[:1].upper() + w[1:] if word[:1].isupper() and word[1:2] != word[1:2].upper() else w))
+        return out
 
     def word_sites(self, text: str):
-        """(start, end, change, other word) of the words of a text that may be misread."""
+        """(start, end, [(change, other word)]) of the words of a text that may be misread."""
         usual, found = self.usual, []
-        suspects = self.index.keys() & set(_WORD.findall(text.lower()))
+        every = set(_WORD.findall(text.lower()))
+        suspects = self.index.keys() & every
+        if self.doubled:
+            suspects = suspects | {w for w in every if usual.get(w, 0) == 0 and self._doubled(w) is not None}
         for m in _WORD.finditer(text) if suspects else ():
             w = m[0]
-            if w.lower() in suspects and len(w) > 1 and not w.isdigit() and (o := self.other(w)) is not None and not _garbled(text[m.start() - 1 : m.start()] + text[m.end() : m.end() + 1]):
-                found.append((m.start(), m.end(), *o))
+            if w.lower() in suspects and len(w) > 1 and not w.isdigit() and (o := self.others(w)) and not _garbled(text[m.start() - 1 : m.start()] + text[m.end() : m.end() + 1]):
+                found.append((m.start(), m.end(), o))
         for wrong in self.broken:
             # Confusions with a mark in them part a word.
             at = text.find(wrong)
             while at >= 0:
-                a, b = re.search(r"[^\W\d_]*$", text[max(0, at - 30) : at])[0], re.match(r"[^\W\d_]*", text[at + len(wrong) :])[0]
+                a, b = re.search(r"[^\W\d_]*$", text[max(0, at - 64) : at])[0], re.match(r"[^\W\d_]*", text[at + len(wrong) :])[0]
                 w = a + wrong + b
-                if b and (o := self.other(w)) is not None:
-                    found.append((at - len(a), at + len(wrong) + len(b), *o))
+                if b and (o := self.others(w)):
+                    found.append((at - len(a), at + len(wrong) + len(b), o))
                 at = text.find(wrong, at + 1)
         if self.wide and _CJK.search(text):
             for m in _CJK_RUN.finditer(text):
@@ -226,9 +258,9 @@ class Editor:
                     if c in self.wide:
                         a, b = run[i - 1 : i] if i else "", run[i + 1 : i + 2]
                         now = usual.get(a + c, 0) * bool(a) + usual.get(c + b, 0) * bool(b)
-                        right, k = max(((r, usual.get(a + r, 0) * bool(a) + usual.get(r + b, 0) * bool(b)) for r in self.confusions[c]), key=lambda x: x[1])
+                        right, k = max(((r, usual.get(a + r, 0) * bool(a) + usual.get(r + b, 0) * bool(b)) for r in self.confusions[c] if r), key=lambda x: x[1], default=("", 0))
                         if k > 4 * now:
-                            found.append((m.start() + i, m.start() + i + 1, (c, right), right))
+                            found.append((m.start() + i, m.start() + i + 1, [((c, right), right)]))
         found.sort()
         end = -1
         for x in found:
@@ -236,34 +268,44 @@ class Editor:
                 yield x
                 end = x[1]
 
-    def site_features(self, text: str, site, wrapped: bool) -> list[str]:
-        a, b, change, other = site
-        return char_features(change, self.usual, text[a:b], other, wrapped, self.confusions.get(change[0], {}).get(change[1], 0))
+    def decide(self, text: str, site, wrapped: bool) -> str | None:
+        """The word that the best operation at a site makes; None where that is keeping it."""
+        best, other = 0.0, None
+        for change, word in site[2]:
+            op = op_of(change)
+            keep, edit = self.model.scores(self.site_features(text, site, change, word, wrapped), ("keep", op))
+            if edit - keep > best:
+                best, other = edit - keep, word
+        return other
+
+    def site_features(self, text: str, site, change: tuple[str, str], other: str, wrapped: bool) -> list[str]:
+        return char_features(change, self.usual, text[site[0] : site[1]], other, wrapped, self.confusions.get(change[0], {}).get(change[1], 0))
 
     # --- whole texts -----------------------------------------------------------------------------------------------------------------------
 
     def edit(self, text: str | None) -> tuple[str | None, int, int, int]:
         """(text, lines deleted, hyphens deleted, words changed). Without any of these the text is as it was."""
-        if not text or TABLE in text:
+        if not text:
             return text, 0, 0, 0
-        lines = text.split("\n")
+        own, mark, rows = text.partition(TABLE)
+        lines = own.split("\n")
         wrapped = any(a.strip() and b.strip() for a, b in zip(lines, lines[1:]))
-        deleted = hyphens = changed = 0
-        out = text
+        deleted = hyphens = 0
+        out = own
         if len(lines) > 1:
             keep, deleted = self._lines(lines)
-            out, hyphens = self._joined(keep)
-        sites = [s for s in self.word_sites(out) if self.model.predict(self.site_features(out, s, wrapped), CHAR_OPS) == "edit"]
-        for a, b, _, other in reversed(sites):
+            # The lines of a table's heading stay apart.
+            out, hyphens = ("\n".join(x for x, _ in keep), 0) if mark else self._joined(keep)
+        sites = [(s[0], s[1], w) for s in self.word_sites(out) if (w := self.decide(out, s, wrapped)) is not None]
+        for a, b, other in reversed(sites):
             out = out[:a] + other + out[b:]
-        changed = len(sites)
-        return (out, deleted, hyphens, changed) if deleted or hyphens or changed else (text, 0, 0, 0)
+        return (out + mark + rows, deleted, hyphens, len(sites)) if deleted or hyphens or sites else (text, 0, 0, 0)
 
     def _lines(self, lines: list[str]) -> tuple[list[str], int]:
         seen = page(lines)
         keep, n, parted = [], 0, False
         for i, x in enumerate(lines):
-            if x.strip() and len(x) <= MOST_FURNITURE and self.model.predict(line_features(lines, i, seen), LINE_OPS) == "delete":
+            if x.strip() and self.model.predict(line_features(lines, i, seen), LINE_OPS) == "delete":
                 n, parted = n + 1, True
             else:
                 keep.append((x, parted))
@@ -341,7 +383,7 @@ def _fixes(raw: str, clean: str) -> list[tuple[str, str]]:
 
 
 def _core(wrong: str, right: str) -> tuple[str, str] | None:
-    """The characters in which two words differ."""
+    """The characters in which two words differ: what is replaced by what; nothing on one side where characters got lost or are one too many."""
     p = 0
     while p < min(len(wrong), len(right)) and wrong[p] == right[p]:
         p += 1
@@ -349,7 +391,9 @@ def _core(wrong: str, right: str) -> tuple[str, str] | None:
     while q < min(len(wrong), len(right)) - p and wrong[-1 - q] == right[-1 - q]:
         q += 1
     a, b = wrong[p : len(wrong) - q], right[p : len(right) - q]
-    return (a, b) if a and len(a) <= 3 and len(b) <= 3 and " " not in a + b else None
+    # One character is lost or doubled at a time; words that share nothing are no misreading of each other.
+    fine = len(a) + len(b) == 1 if not a or not b else p + q > 0 or max(len(wrong), len(right)) <= 2
+    return (a, b) if fine and not re.search(r"\s", a + b) else None
 
 
 def train(proofs: list[tuple[str, str]], usual: dict[str, int]) -> Editor:
@@ -389,18 +433,24 @@ def train(proofs: list[tuple[str, str]], usual: dict[str, int]) -> Editor:
         joined.append((out, clean, wrapped))
         if raw != clean:
             for wrong, right in _fixes(out, clean):
-                if (c := _core(wrong, right)) is not None and not c[0].isspace():
+                if (c := _core(wrong, right)) is not None:
                     confusions[c[0]][c[1]] += 1
-    # A confusion seen once counts where it is of characters that stand in no other proof's clean text, or of two letters.
-    table = {w: {r: k for r, k in c.items() if k >= (2 if sum(a != b for a, b in proofs) > 40 else 1) and r and not (w.isdigit() and r.isdigit())} for w, c in confusions.items()}
+    # A change seen once counts while there are few proofs.
+    least = 2 if sum(a != b for a, b in proofs) > 40 else 1
+    table = {w: {r: k for r, k in c.items() if k >= least and not (w.isdigit() and r.isdigit())} for w, c in confusions.items()}
     editor = Editor({}, {w: c for w, c in table.items() if c}, usual)
     char_cases = []
     for out, clean, wrapped in joined:
-        fixed = Counter(_fixes(out, clean)) if out != clean else Counter()
+        fixed = _fixes(out, clean) if out != clean else []
         wrong_words = {w for a, _ in fixed for w in _WORD.findall(a)} | {c for a, _ in fixed for c in a if _CJK.match(c)}
+        right_words = {w for _, b in fixed for w in _WORD.findall(b)}
         for s in editor.word_sites(out):
             w = out[s[0] : s[1]]
-            char_cases.append((editor.site_features(out, s, wrapped), CHAR_OPS, "edit" if w in wrong_words or any(p in wrong_words for p in re.split("[’']", w)) else "same"))
+            bad = w in wrong_words or any(p in wrong_words for p in re.split("[’']", w))
+            for change, other in s[2]:
+                op = op_of(change)
+                gold = op if bad and (op == "replace" or other in right_words) else "keep"
+                char_cases.append((editor.site_features(out, s, change, other, wrapped), ("keep", op), gold))
     cases = line_cases + break_cases + char_cases
     step = 7_919
     for epoch in range(EPOCHS):
@@ -437,23 +487,22 @@ def usual_words(chunks: DataFrame) -> dict[str, int]:
                         own[w] += n
             yield pd.DataFrame([(w, n) for w, n in own.items() if not w.isdigit()], columns=["word", "n"])
 
-    counted = chunks.select("text").mapInPandas(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).persist()
+    counted = chunks.select("text").mapInPandas(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = stage(counted, "words")
     total = counted.agg(F.sum("n")).first()[0] or 0
     least = max(USUAL_LEAST, math.ceil(USUAL_SHARE * total))
-    found = {r.word: r.n for r in counted.where((F.col("n") >= least) & (F.length("word") <= 40)).toLocalIterator()}
-    counted.unpersist()
-    return found
+    return {r.word: r.n for r in counted.where(F.col("n") >= least).toLocalIterator()}
 
 
 def repair(chunks: DataFrame, proofs: DataFrame, most_proofs: int = MOST_PROOFS) -> DataFrame:
     """(chunk_id, text, lines_deleted, hyphens_deleted, words_changed) of every chunk; the three numbers are 0 where it has no residue."""
     rows = chunks.where("id is not null").select(F.col("id").alias("chunk_id"), "text")
     usual = usual_words(chunks)
-    # A bounded sample of the proofs, the same at any partitioning.
-    unscanned = chunks.where(r"text like '%\n%' and text not like '%\n[Rows]\n%' and locator rlike '^(slide|text|document)'").select("id", "text").dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(MOST_UNSCANNED).collect()
-    chosen = proofs.where("chunk_id is not null and clean_text is not null").dropDuplicates(["chunk_id"]).orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(most_proofs)
+    # A bounded sample of the proofs, the same at any partitioning: their ids are drawn before any text moves.
+    drawn = proofs.where("chunk_id is not null and clean_text is not null").select("chunk_id").distinct().orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(most_proofs)
+    chosen = proofs.where("clean_text is not null").join(F.broadcast(drawn), "chunk_id").dropDuplicates(["chunk_id"])
     pairs = rows.join(F.broadcast(chosen), "chunk_id").select("chunk_id", "text", "clean_text").dropDuplicates(["chunk_id"]).orderBy("chunk_id").collect()
-    editor = train([(r.text, r.clean_text) for r in pairs] + [(r.text, r.text) for r in unscanned], usual)
+    editor = train([(r.text, r.clean_text) for r in pairs], usual)
     shared = chunks.sparkSession.sparkContext.broadcast((editor.model.w, editor.confusions, usual))
 
     def run(batches):

@@ -98,7 +98,7 @@ def split_chunks(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP)
     """(chunk_id, document_id, ordinal, text, locator, text_hash, part, parts, char_start, char_end) of all chunks, ordinals counted anew."""
     if limit < 50 or not 0 <= overlap < limit // 2:
         raise ValueError("limit must be at least 50 and overlap below half of it")
-    rows = chunks.select(F.col("id").alias("chunk_id"), "document_id", F.col("ordinal").alias("old"), "text", "locator", "text_hash").dropDuplicates(["chunk_id"])
+    rows = chunks.select(F.col("id").alias("chunk_id"), "document_id", F.col("ordinal").alias("old"), "text", "locator", "text_hash")
     big = F.coalesce(F.char_length("text"), F.lit(0)) > limit
 
     def cut(batches):
@@ -110,7 +110,8 @@ def split_chunks(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP)
                     out.append((r.chunk_id, r.document_id, r.old, piece, f"{r.locator}, part {i}" if r.locator else f"part {i}", i, len(found), a, b))
             yield pd.DataFrame(out, columns=["chunk_id", "document_id", "old", "text", "locator", "part", "parts", "char_start", "char_end"])
 
-    pieces = rows.where(big).mapInPandas(cut, "chunk_id bigint, document_id string, old int, text string, locator string, part int, parts int, char_start int, char_end int").withColumn("text_hash", F.sha2("text", 256))
+    # The few oversized rows are told apart before repeated ones meet, so that the others needn't move for them.
+    pieces = rows.where(big).dropDuplicates(["chunk_id"]).mapInPandas(cut, "chunk_id bigint, document_id string, old int, text string, locator string, part int, parts int, char_start int, char_end int").withColumn("text_hash", F.sha2("text", 256))
     # How far each chunk moves: the pieces added before it in its document, summed by block and then within the block.
     narrow = pieces.where("part = 1").select("document_id", "old", "chunk_id", (F.col("parts") - 1).alias("more"))
     block = F.floor(F.col("old") / BLOCK)
@@ -120,7 +121,7 @@ def split_chunks(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP)
     # Chunks after the last block with splits of their document get the block's total: the blocks form ranges.
     following = Window.partitionBy("document_id").orderBy("block")
     moved = moved.withColumn("until", F.lead("block").over(following))
-    kept = rows.where(~big).select("chunk_id", "document_id", "old", "text", "locator", F.lit(1).alias("part"), F.lit(1).alias("parts"), F.lit(0).alias("char_start"), F.coalesce(F.char_length("text"), F.lit(0)).alias("char_end"), "text_hash")
+    kept = rows.where(~big).dropDuplicates(["chunk_id"]).select("chunk_id", "document_id", "old", "text", "locator", F.lit(1).alias("part"), F.lit(1).alias("parts"), F.lit(0).alias("char_start"), F.coalesce(F.char_length("text"), F.lit(0)).alias("char_end"), "text_hash")
     every = kept.unionByName(pieces)
     shift = F.expr("before + aggregate(filter(own, x -> x.old < o or (x.old = o and x.chunk_id < c)), 0L, (a, x) -> a + x.more)")
     b = moved.select(F.col("document_id").alias("d"), "block", "until", "before", "own")

@@ -5,7 +5,8 @@ identically, because a pre-token depends only on what follows its start; so the
 seam. Pieces between seams are encoded on their own and their ids are strung together.
 
 Defined results: null and empty texts give an empty list (count 0); a null id is kept as a row; columns other than the two named ones are
-dropped, so clashing names cannot occur; repeated rows are repeated unless ``unique_ids`` is false, which drops repeats by id first.
+dropped, so clashing names cannot occur; repeated rows are repeated, whatever their length, unless ``unique_ids`` is false, which drops repeats by id
+first. A long text is encoded once, however many rows have it.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillspark.staging import stage
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the published pre-token pattern of this vocabulary.
 PRETOKEN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -77,14 +80,19 @@ def _encoded(df: DataFrame, keys: list[str], text: str, vocabulary: str, count:
 
 
 def _pieces(long: DataFrame, chunk_chars: int, overlap_chars: int) -> DataFrame:
-    """(doc, piece, text) of long texts, cut where two overlapping scanners agree."""
-    n = F.char_length("text")
-    last = F.floor((n - 1) / chunk_chars).cast("int")
-    chunks = long.select("doc", n.alias("n"), "text", F.explode(F.sequence(F.lit(0), last)).alias("k"))
-    base = F.greatest(F.lit(0), F.col("k") * chunk_chars - overlap_chars)
-    end = F.least(F.col("n"), (F.col("k") + 1) * chunk_chars + overlap_chars)
-    chunks = chunks.select("doc", "k", "n", base.alias("base"), F.substring("text", base + 1, end - base).alias("part"))
-    chunks = chunks.repartition("doc", "k")
+    """(doc, piece, text) of long texts (doc, text), cut where two overlapping scanners agree."""
+
+    def slice_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist()):
+                n = len(text)
+                rows = []
+                for k in range(-(-n // chunk_chars)):
+                    base = max(0, k * chunk_chars - overlap_chars)
+                    rows.append({"doc": doc, "k": k, "n": n, "base": base, "part": text[base : (k + 1) * chunk_chars + overlap_chars]})
+                yield pa.RecordBatch.from_pylist(rows, pa.schema([("doc", pa.string()), ("k", pa.int32()), ("n", pa.int32()), ("base", pa.int32()), ("part", pa.string())]))
+
+    chunks = stage(long.mapInArrow(slice_all, "doc string, k int, n int, base int, part string").repartition("doc", "k"), "slices")
 
     def scan(batches):
         import pandas as pd
@@ -132,11 +140,15 @@ def encode_corpus(
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     if not unique_ids:
         rows = rows.dropDuplicates(["doc"])
-    is_long = (F.coalesce(F.char_length("text"), F.lit(0)) > chunk_chars) & F.col("doc").isNotNull()
+    is_long = F.coalesce(F.char_length("text"), F.lit(0)) > chunk_chars
     short = _encoded(rows.where(~is_long), ["doc"], "text", vocabulary, count)
-    pieces = _encoded(_pieces(rows.where(is_long), chunk_chars, overlap_chars), ["doc", "piece"], "text", vocabulary, count)
+    # Long texts go by their hashes: rows of one text, or of one id, don't mix.
+    named = rows.where(is_long).select("doc", F.sha2("text", 256).alias("key"), "text")
+    once = named.groupBy(F.col("key").alias("text_key")).agg(F.first("text").alias("text")).withColumnRenamed("text_key", "doc")
+    pieces = _encoded(_pieces(once, chunk_chars, overlap_chars), ["doc", "piece"], "text", vocabulary, count)
     if count:
-        long = pieces.groupBy("doc").agg(F.sum("ids").alias("ids"))
+        whole = pieces.groupBy("doc").agg(F.sum("ids").alias("ids"))
     else:
-        long = pieces.groupBy("doc").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("piece", "ids"))), lambda x: x["ids"])).alias("ids"))
+        whole = pieces.groupBy("doc").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("piece", "ids"))), lambda x: x["ids"])).alias("ids"))
+    long = named.select("doc", "key").join(whole.withColumnRenamed("doc", "key"), "key").select("doc", "ids")
     return short.unionByName(long).select(F.col("doc").alias(id_col), "ids")
