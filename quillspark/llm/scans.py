@@ -6,8 +6,11 @@ a word, keep its characters, or replace some, delete one or insert one. What may
 weights are learned by aligning the characters of proofs with those of their texts; at most ``MOST_PROOFS`` proofs are used. How usual words are is
 counted over all chunks; a word is only changed into a more usual one.
 
-Defined results: null and empty texts come back as they are; of a table only what stands before its ``[Rows]`` line is edited, and its lines are never
-joined; repeated rows count once (by id); a text without a site at which an operation other than keeping or joining lines wins has no residue and comes
+Proofs tell which kinds of locator (their letters) belong to pages that were never scanned: those whose proofs all left the text as it was. A bounded
+sample of chunks of these kinds serves as further examples of lines to keep.
+
+Defined results: null and empty texts come back as they are; rows of a table (after its ``[Rows]`` line) are never edited, and the lines before them only
+where some proof is of a table, as else nothing was learned about such lines; they are never joined; repeated rows count once (by id); a text without a site at which an operation other than keeping or joining lines wins has no residue and comes
 back unchanged.
 """
 
@@ -25,6 +28,8 @@ from pyspark.sql import functions as F
 from quillspark.staging import stage
 
 MOST_PROOFS = 800
+#: Proofs of a kind of locator that have to agree that it is never scanned, and chunks of such kinds that serve as examples.
+LEAST_AGREEING, MOST_UNSCANNED = 5, 600
 EPOCHS = 6
 #: A word is counted as usual from this share of all words on, and from this number.
 USUAL_SHARE, USUAL_LEAST = 1e-6, 3
@@ -118,7 +123,7 @@ def line_features(lines: list[str], i: int, own: tuple[int, int, Counter]) -> li
     one = n == 1
     f = [
         "L", f"L place {place}", f"L size {size}", f"L caps {caps}", f"L end {end}", f"L {goes_on}", f"L num {number}", f"L title {title}", f"L year {year} {end} {size}", f"L shape {_shape(line)}",
-        f"L {place} {goes_on} {lower_next}", f"L num {number} alone {alone}", f"L title {title} {end} {size}", f"L caps {caps} {end} {year}", f"L title {title} {year} {goes_on}", f"L dig {int(digits * 4)} {size}",
+        f"L {place} {goes_on} {lower_next}", f"L {goes_on} {end} {place} {size}", f"L {goes_on} {end} {year} {lower_next}", f"L num {number} alone {alone}", f"L title {title} {end} {size}", f"L caps {caps} {end} {year}", f"L title {title} {year} {goes_on}", f"L dig {int(digits * 4)} {size}",
         f"L seen {min(seen[re.sub(r'[0-9]+', '#', line)], 3)}", f"L one {one}", f"L title {title} {lower_next} {place} {end}", f"L title {title} {place} alone {alone}", f"L sep {bool(re.search(r' [|–—·] ', line))} {end} {size}", f"L len {min(len(line) // 8, 6)} {number}",
     ]
     return f
@@ -137,7 +142,9 @@ def break_features(left: str, right: str, usual: dict[str, int], parted: bool, s
     best = "whole" if whole and whole >= compound else "compound" if compound else "none"
     pair = f"{kind(stem[-1:])}{kind(right[:1])}"
     stop = left[-1:] in ".!?。！？:："
-    return [f"B {mark}", f"B {pair}", f"B {mark} {pair}", f"B {mark} {best}", f"B {mark} {pair} {best}", f"B stop {stop} {pair}", f"B apart {apart > 0} {mark} {best}", f"B bullet {right[:1] in '•-*–'}", f"B furniture {parted} {stop}", f"B furniture {parted} {stop} {short}", f"B short {short} {stop} {pair}"]
+    wide = bool(_CJK.search(left[-24:])) + bool(_CJK.search(right[:24]))
+    more = [f"B wide {wide} {pair} {mark}", f"B {pair} {parted}", f"B {pair} {mark} {short} {stop}", f"B next {right[:1] if not right[:1].isalnum() else ''} {pair} {wide}", f"B whole {whole > 0} {apart > 0} {pair} {wide}"]
+    return [*more, f"B {mark}", f"B {pair}", f"B {mark} {pair}", f"B {mark} {best}", f"B {mark} {pair} {best}", f"B stop {stop} {pair}", f"B apart {apart > 0} {mark} {best}", f"B bullet {right[:1] in '•-*–'}", f"B furniture {parted} {stop}", f"B furniture {parted} {stop} {short}", f"B short {short} {stop} {pair}"]
 
 
 def char_features(change: tuple[str, str], usual: dict[str, int], word: str, other: str, wrapped: bool, times: int) -> list[str]:
@@ -160,7 +167,8 @@ def _garbled(around: str) -> bool:
 
 
 class Editor:
-    def __init__(self, weights: dict, confusions: dict[str, dict[str, int]], usual: dict[str, int]):
+    def __init__(self, weights: dict, confusions: dict[str, dict[str, int]], usual: dict[str, int], tables: bool = False):
+        self.tables = tables
         self.model = Perceptron()
         self.model.w = weights
         self.confusions, self.usual = confusions, usual
@@ -227,8 +235,10 @@ class Editor:
         low, out = word.lower(), []
         for found in (self.index.get(low), self._doubled(low)):
             if found is not None:
-                w = found[2]
-                out.append((found[1], w.upper() if word.isupper() and len(word) > 1 else w[:1].upper() + w[1:] if word[:1].isupper() and word[1:2] != word[1:2].upper() else w))
+                change, w = found[1], found[2]
+                # A first letter that was misread has the case of what it was misread for; else that of the word.
+                first = change[1][:1].isupper() if change[1] and low[:1] != w[:1] else word[:1].isupper() and word[1:2] != word[1:2].upper()
+                out.append((change, w.upper() if word.isupper() and len(word) > 1 else w[:1].upper() + w[1:] if first else w))
         return out
 
     def word_sites(self, text: str):
@@ -288,6 +298,8 @@ class Editor:
         if not text:
             return text, 0, 0, 0
         own, mark, rows = text.partition(TABLE)
+        if mark and not self.tables:
+            return text, 0, 0, 0
         lines = own.split("\n")
         wrapped = any(a.strip() and b.strip() for a, b in zip(lines, lines[1:]))
         deleted = hyphens = 0
@@ -401,13 +413,17 @@ def train(proofs: list[tuple[str, str]], usual: dict[str, int]) -> Editor:
     model, confusions = Perceptron(), defaultdict(Counter)
     line_cases, break_cases, joined = [], [], []
     for raw, clean in proofs:
-        if not raw or not clean or TABLE in raw:
+        if not raw or not clean:
             continue
+        table = TABLE in raw
+        raw, clean = raw.partition(TABLE)[0], clean.partition(TABLE)[0]
         lines = raw.split("\n")
         gone = _gold_lines(lines, clean) if raw != clean else [False] * len(lines)
         seen = page(lines)
         if len(lines) > 1:
             line_cases += [(line_features(lines, i, seen), LINE_OPS, "delete" if g else "keep") for i, (x, g) in enumerate(zip(lines, gone)) if x.strip()]
+        if table:
+            continue
         wrapped = any(a.strip() and b.strip() for a, b in zip(lines, lines[1:]))
         out, before, gap, parted = "", "", False, False
         width = max((len(x) for x, g in zip(lines, gone) if not g), default=1)
@@ -438,7 +454,7 @@ def train(proofs: list[tuple[str, str]], usual: dict[str, int]) -> Editor:
     # A change seen once counts while there are few proofs.
     least = 2 if sum(a != b for a, b in proofs) > 40 else 1
     table = {w: {r: k for r, k in c.items() if k >= least and not (w.isdigit() and r.isdigit())} for w, c in confusions.items()}
-    editor = Editor({}, {w: c for w, c in table.items() if c}, usual)
+    editor = Editor({}, {w: c for w, c in table.items() if c}, usual, any(TABLE in (raw or "") for raw, _ in proofs))
     char_cases = []
     for out, clean, wrapped in joined:
         fixed = _fixes(out, clean) if out != clean else []
@@ -496,14 +512,24 @@ def usual_words(chunks: DataFrame) -> dict[str, int]:
 
 def repair(chunks: DataFrame, proofs: DataFrame, most_proofs: int = MOST_PROOFS) -> DataFrame:
     """(chunk_id, text, lines_deleted, hyphens_deleted, words_changed) of every chunk; the three numbers are 0 where it has no residue."""
-    rows = chunks.where("id is not null").select(F.col("id").alias("chunk_id"), "text")
+    kind = F.regexp_extract(F.lower("locator"), r"^[\p{L} ]+", 0)
+    rows = chunks.where("id is not null").select(F.col("id").alias("chunk_id"), "text", kind.alias("kind"))
     usual = usual_words(chunks)
     # A bounded sample of the proofs, the same at any partitioning: their ids are drawn before any text moves.
     drawn = proofs.where("chunk_id is not null and clean_text is not null").select("chunk_id").distinct().orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(most_proofs)
     chosen = proofs.where("clean_text is not null").join(F.broadcast(drawn), "chunk_id").dropDuplicates(["chunk_id"])
-    pairs = rows.join(F.broadcast(chosen), "chunk_id").select("chunk_id", "text", "clean_text").dropDuplicates(["chunk_id"]).orderBy("chunk_id").collect()
-    editor = train([(r.text, r.clean_text) for r in pairs], usual)
-    shared = chunks.sparkSession.sparkContext.broadcast((editor.model.w, editor.confusions, usual))
+    pairs = rows.join(F.broadcast(chosen), "chunk_id").select("chunk_id", "text", "clean_text", "kind").dropDuplicates(["chunk_id"]).orderBy("chunk_id").collect()
+    own: dict[str, list[bool]] = {}
+    for r in pairs:
+        own.setdefault(r.kind, []).append(r.text == r.clean_text)
+    never = [k for k, same in own.items() if k and all(same) and len(same) >= LEAST_AGREEING]
+    more = []
+    if never:
+        kept = chunks.where(r"text like '%\n%' and text not like '%\n[Rows]\n%'").where(kind.isin(never))
+        ids = kept.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(MOST_UNSCANNED)
+        more = kept.select("id", "text").join(F.broadcast(ids), "id").dropDuplicates(["id"]).orderBy("id").collect()
+    editor = train([(r.text, r.clean_text) for r in pairs] + [(r.text, r.text) for r in more], usual)
+    shared = chunks.sparkSession.sparkContext.broadcast((editor.model.w, editor.confusions, usual, editor.tables))
 
     def run(batches):
         own = Editor(*shared.value)
@@ -511,5 +537,5 @@ def repair(chunks: DataFrame, proofs: DataFrame, most_proofs: int = MOST_PROOFS)
             done = [own.edit(t) for t in pdf.text]
             yield pd.DataFrame({"chunk_id": pdf.chunk_id, "text": [d[0] for d in done], "lines_deleted": [d[1] for d in done], "hyphens_deleted": [d[2] for d in done], "words_changed": [d[3] for d in done]})
 
-    edited = rows.mapInPandas(run, "chunk_id bigint, text string, lines_deleted int, hyphens_deleted int, words_changed int")
+    edited = rows.select("chunk_id", "text").mapInPandas(run, "chunk_id bigint, text string, lines_deleted int, hyphens_deleted int, words_changed int")
     return edited

@@ -262,6 +262,94 @@ def test_editor_learns():
     assert editor.edit("a | b\n[Rows]\nfhe | 1")[1:] == (0, 0, 0)
 
 
+def test_editor_learns_lost_and_doubled_characters():
+    words = "the company board reported for this period that holding costs were lower after maintenance".split()
+    usual = {w: 1_000 for w in [*words, "annual", "profit", "estimate"]} | {"boards": 40}
+    own = np.random.default_rng(11)
+    wrong = {"company": "compny", "board": "boaard", "period": "perlod", "holding": "hoIding", "reported": "reportd", "maintenance": "maintennance"}
+    proofs = []
+    for i in range(80):
+        w = [str(x) for x in own.choice(words, 14)]
+        proofs.append((" ".join(wrong.get(x, x) if k % 3 == 0 else x for k, x in enumerate(w)), " ".join(w)))
+    editor = scans.train(proofs, usual)
+    assert editor.lost and editor.doubled
+    assert editor.edit("The compny and its boaard in the perlod")[0] == "The company and its board in the period"
+    # What was learned holds for other words too; usual words stay.
+    assert editor.edit("annal proffit estimte")[0] == "annual profit estimate" and editor.edit("the boards report")[1:] == (0, 0, 0)
+    assert scans._core("compny", "company") == ("", "a") and scans._core("boaard", "board") == ("a", "") and scans._core("clirnb", "climb") == ("rn", "m")
+
+
+def test_tables_are_edited_only_where_proofs_show_tables():
+    usual = {"the": 900, "revenue": 900}
+    raw = "Annual Report 7\nRevenue | 2020\n[Rows]\nfhe | 1"
+    assert scans.train([("fhe revenue", "the revenue")] * 50, usual).edit(raw) == (raw, 0, 0, 0)
+
+
+def test_encoding_repeats_rows_of_any_length(spark):
+    long = "One two three. " * 2_000
+    df = spark.createDataFrame([(1, "short"), (1, long), (1, long), (None, long), (2, "x")], "doc_id bigint, text string")
+    out = [(r.doc_id, len(r.ids)) for r in tokens.encode_corpus(df).collect()]
+    n = len(tokens.encoder().encode_ordinary(long))
+    assert sorted(out, key=str) == sorted([(1, 1), (1, n), (1, n), (None, n), (2, 1)], key=str)
+
+
+def _deliveries(spark):
+    own = np.random.default_rng(13)
+    docs, chunks = [], []
+    for i in range(260):
+        same = int(own.integers(0, i)) if i and own.random() < 0.4 else None
+        hashes = [f"{int(x):04x}" for x in own.integers(0, 1 << 16, int(own.integers(1, 7)))] if same is None else list(chunks[same][1])
+        if same is not None and own.random() < 0.5:
+            hashes[0] = f"{int(own.integers(0, 1 << 16)):04x}"
+        chunks.append((f"i{i}", ["00ff", *hashes] if i % 3 else hashes))
+        docs.append((i, f"i{i}", f"{i % 90:02x}" if i % 7 == 0 else None, f"sha256:{i % 50:02X}aa" if i % 11 == 0 else "", min(8, i // 25)))
+    d = spark.createDataFrame(docs, "doc_id bigint, id string, content_hash string, fingerprint string, batch_no int")
+    return d, spark.createDataFrame([(i, h) for i, own_hashes in chunks for h in own_hashes], "document_id string, text_hash string")
+
+
+def _brute(d, c):
+    sets = {}
+    for r in c.collect():
+        sets.setdefault(r.document_id, set()).add(r.text_hash)
+    rows, out = [(r.doc_id, r.batch_no, r.content_hash, (r.fingerprint or "").removeprefix("sha256:").lower(), sets.get(r.id, set())) for r in d.collect()], set()
+    for a in rows:
+        for b in rows:
+            if a[0] < b[0] and (a[1] > 0 or b[1] > 0):
+                k = len(a[4] & b[4])
+                if (a[2] and a[2] == b[2]) or (a[3] and a[3] == b[3]) or (2 * k > len(a[4]) and 2 * k > len(b[4])):
+                    out.add((a[0], b[0]))
+    return out
+
+
+def test_batches_one_by_one_read_only_the_index(spark, tmp_path):
+    d, c = _deliveries(spark)
+    want = _brute(d, c)
+    # Each batch is added by an index opened anew from its folder; what it is given is the batch alone.
+    got, found = set(), None
+    for number in range(9):
+        index = history.HistoryIndex(spark, str(tmp_path / "index"))
+        own = d.where(f"batch_no = {number}")
+        batch = history.delivered(own, c.join(own.select("id").withColumnRenamed("id", "document_id"), "document_id", "left_semi"))
+        found = index.add_batch(batch.drop("batch"), number)
+        got |= {(min(r.doc_id, r.repeats), max(r.doc_id, r.repeats)) for r in found.collect()}
+    assert got == want and len(want) > 100
+    kept = history.HistoryIndex(spark, str(tmp_path / "index"))
+    assert [(s["first"], s["last"]) for s in kept.segments] == [(0, 0), (1, 4), (5, 8)]
+    assert {(r.doc_id_a, r.doc_id_b) for r in history.repeats(d, c).collect()} == want
+
+
+def test_widest_beam_falls_back_to_all_points():
+    own = np.random.default_rng(14)
+    keys = np.unique(own.integers(0, 1 << 63, 3_000).astype(np.uint64) * np.uint64(2))
+    queries = own.integers(0, 1 << 63, 400).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    links = np.zeros((len(keys), history.NEAR + history.FAR), np.int32)  # a graph that leads nowhere
+    at, beam = history.tuned_search(keys, links, queries)
+    exact = history.exhaustive(keys, queries)
+    assert beam == 0 and (history._away(keys, at, queries) == exact).all()
+    at, beam = history.tuned_search(keys, history.build_graph(keys), queries)
+    assert 0 < beam <= history.MOST_BEAM and (history._away(keys, at, queries) == exact).all()
+
+
 def test_gradients_agree_with_differences():
     p = {k: v.astype(np.float64) for k, v in languages.fresh().items()}
     own = np.random.default_rng(7)
