@@ -142,22 +142,28 @@ class HistoryIndex:
         kept = self._versions()
         if kept:
             self.version = kept[-1]
-            state = json.loads("".join(r.value for r in spark.read.text(f"{self.path}/manifest-{self.version}").collect()))
+            state = json.loads(spark.read.text(f"{self.path}/manifest-{self.version}").first().value)
             self.segments, self.members, self.sets = state["segments"], state["members"], state["sets"]
 
-    def _versions(self) -> list[int]:
+    def _files(self):
         where = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        files = where.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not files.exists(where):
-            return []
-        done = [s.getPath() for s in files.listStatus(where) if s.getPath().getName().startswith("manifest-")]
-        mark = lambda p: self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")
-        return sorted(int(p.getName().split("-")[1]) for p in done if files.exists(mark(p)))
+        return where, where.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _versions(self) -> list[int]:
+        where, files = self._files()
+        names = [s.getPath().getName() for s in files.listStatus(where)] if files.exists(where) else []
+        return sorted(int(n.removeprefix("manifest-")) for n in names if n.startswith("manifest-"))
 
     def _commit(self) -> None:
+        """Writes the next manifest beside its place and moves it there, so that it is there whole or not at all."""
         self.version += 1
-        text = json.dumps({"segments": self.segments, "members": self.members, "sets": self.sets})
-        self.spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/manifest-{self.version}")
+        where, files = self._files()
+        path = lambda name: self.spark._jvm.org.apache.hadoop.fs.Path(where, name)
+        out = files.create(path(f".writing-{self.version}"), True)
+        out.write(bytearray(json.dumps({"segments": self.segments, "members": self.members, "sets": self.sets}).encode()))
+        out.close()
+        if not files.rename(path(f".writing-{self.version}"), path(f"manifest-{self.version}")):
+            raise RuntimeError(f"manifest {self.version} is there already: another writer was faster")
 
     def _write(self, df: DataFrame, name: str) -> str:
         where = f"{self.path}/{name}-{uuid.uuid4().hex[:12]}"
@@ -179,16 +185,16 @@ class HistoryIndex:
     def _posted(self, entities: DataFrame, sets: DataFrame) -> DataFrame:
         """(key, entity): a hash's own key, and those of the rarer half of each set's hashes."""
         frequent = self._order(sets)
-        ranked = sets.select("entity", F.explode("own").alias("h")).join(frequent, "h", "left").groupBy("entity").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "h"))).alias("own"))
+        # Frequent hashes are at most the mean size of a set, divided by the share: some thousands.
+        ranked = sets.select("entity", F.explode("own").alias("h")).join(F.broadcast(frequent), "h", "left").groupBy("entity").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "h"))).alias("own"))
         first = ranked.select("entity", F.explode(F.slice("own", 1, F.ceil(F.size("own") / 2).cast("int"))).alias("x"))
         one = entities.where("not startswith(entity, 's')").select(F.xxhash64("entity").alias("key"), "entity")
         return one.unionByName(first.select(F.xxhash64(F.concat(F.lit("t"), "x.h")).alias("key"), "entity"))
 
-    def _graph(self, keys: DataFrame) -> tuple[str, int]:
-        distinct = keys.select("key").distinct()
-        need = -(-distinct.count() // SHARD_KEYS)
-        arcs = 1 << max(0, need - 1).bit_length() if need > 1 else 1
-        return self._write(distinct.withColumn("arc", _arc(F.col("key"), arcs)).groupBy("arc").applyInPandas(_build, GRAPH), "graph"), arcs
+    def _graph(self, keys: DataFrame, rows: int) -> tuple[str, int]:
+        """Writes the graphs of keys, of which there are no more than rows."""
+        arcs = 1 << (max(1, -(-rows // SHARD_KEYS)) - 1).bit_length()
+        return self._write(keys.select("key").distinct().withColumn("arc", _arc(F.col("key"), arcs)).groupBy("arc").applyInPandas(_build, GRAPH), "graph"), arcs
 
     def search(self, keys: DataFrame) -> DataFrame:
         """(key, segment): the segments whose graphs hold a key."""
@@ -221,7 +227,7 @@ class HistoryIndex:
         own_members, own_sets = self._read([members], MEMBERS), self._read([distinct], SETS)
         posted = self._write(self._posted(own_members.select("entity").distinct(), own_sets), "posted")
         keyed = self._read([posted], POSTED)
-        graph, arcs = self._graph(keyed)
+        graph, arcs = self._graph(keyed, keyed.count())
         self.segments.append({"first": number, "last": number, "arcs": arcs, "graph": graph, "posted": posted})
         self.members.append(members)
         self.sets.append(distinct)
@@ -261,8 +267,8 @@ class HistoryIndex:
                     yield pd.DataFrame({"key": np.frombuffer(k, np.int64)})
 
         old = [self.segments[i] for i in which]
-        graph, arcs = self._graph(self._read([s["graph"] for s in old], GRAPH).select("keys").mapInPandas(points, "key bigint"))
         posted = self._write(self._read([s["posted"] for s in old], POSTED).distinct(), "posted")
+        graph, arcs = self._graph(self._read([s["graph"] for s in old], GRAPH).select("keys").mapInPandas(points, "key bigint"), self._read([posted], POSTED).count())
         merged = {"first": min(s["first"] for s in old), "last": max(s["last"] for s in old), "arcs": arcs, "graph": graph, "posted": posted}
         self.segments = sorted([s for i, s in enumerate(self.segments) if i not in which] + [merged], key=lambda s: s["first"])
         self._commit()

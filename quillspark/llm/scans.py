@@ -20,6 +20,7 @@ import math
 import re
 from collections import Counter, defaultdict
 from difflib import SequenceMatcher
+from itertools import repeat
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -41,6 +42,9 @@ _CJK_RUN = re.compile(r"[㐀-䶿一-鿿豈-﫿]+")
 _MARKS = "-‐‑‒–¬\xad"
 _TOKEN = re.compile(r"[㐀-䶿一-鿿豈-﫿]|[^\W_㐀-䶿一-鿿]+|\s+|.", re.S)
 TABLE = "\n[Rows]\n"
+_YEAR, _PARTED, _DIGITS = re.compile(r"\b(?:19|20)\d\d\b"), re.compile(r" [|–—·] "), re.compile(r"[0-9]+")
+_NO_LETTER, _NO_CAPITAL, _NO_DIGIT = (bytes(b for b in range(128) if not kind(chr(b))) for kind in (str.isalpha, str.isupper, str.isdigit))
+_NUMBER = re.compile(r"[\W_]*(?:[^\W\d_]{1,9}\.?\s*)?\d{1,4}(?:\s*(?:/|of|von|de|di|sur|из|\|)\s*\d{1,4})?[\W_]*|第?\s*\d{1,4}\s*[页頁].*", re.I)
 
 
 class Perceptron:
@@ -51,8 +55,17 @@ class Perceptron:
         self._sum: dict[tuple[str, str], float] = defaultdict(float)
         self._at: dict[tuple[str, str], int] = defaultdict(int)
         self.steps = 0
+        self.by: dict[str, dict[str, float]] | None = None
+
+    def fix(self) -> None:
+        """Lays the weights out by operation, for applying them only."""
+        self.by = {}
+        for (f, o), v in self.w.items():
+            self.by.setdefault(o, {})[f] = v
 
     def scores(self, features: list[str], ops: tuple[str, ...]) -> list[float]:
+        if self.by is not None:
+            return [sum(map(self.by[o].get, features, repeat(0.0))) if o in self.by else 0.0 for o in ops]
         w = self.w
         return [sum(w.get((f, o), 0.0) for f in features) for o in ops]
 
@@ -85,30 +98,43 @@ CHAR_OPS = ("keep", "replace", "delete", "insert")
 LEAST_WORD = 4
 
 
+class _Classes(dict):
+    """Characters by class, each looked at once."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        self[code] = k = "9" if c.isdigit() else "x" if c.islower() else "X" if c.isupper() else "字" if _CJK.match(c) else "_" if c.isspace() else c
+        return k
+
+
+_CLASSES, _AGAIN = _Classes(), re.compile(r"(.)\1+", re.S)
+
+
 def _shape(s: str) -> str:
-    out = []
-    for c in s[:40]:
-        k = "9" if c.isdigit() else "x" if c.islower() else "X" if c.isupper() else "字" if _CJK.match(c) else "_" if c.isspace() else c
-        if not out or out[-1] != k:
-            out.append(k)
-    return "".join(out)[:14]
+    return _AGAIN.sub(r"\1", s[:40].translate(_CLASSES))[:14]
+
+
+Page = tuple[int, int, Counter, list[str]]
 
 
-def page(lines: list[str]) -> tuple[int, int, Counter]:
-    """(median length, number) of a page's lines that aren't blank, and how often each stands there, digits aside."""
+def page(lines: list[str]) -> Page:
+    """(median length, number) of a page's lines that aren't blank, how often each stands there, digits aside, and the lines so."""
     full = sorted(len(x) for x in lines if x.strip())
-    return (full[len(full) // 2] if full else 1), len(full), Counter(re.sub(r"[0-9]+", "#", x.strip()) for x in lines)
+    plain = [_DIGITS.sub("#", x.strip()) for x in lines]
+    return (full[len(full) // 2] if full else 1), len(full), Counter(plain), plain
 
 
-def line_features(lines: list[str], i: int, own: tuple[int, int, Counter]) -> list[str]:
+def line_features(lines: list[str], i: int, own: Page) -> list[str]:
     """What tells page furniture: place on the page, make-up, length against the others, and whether its neighbours go on without it."""
     line = lines[i].strip()
-    width, n, seen = own
-    before = next((x.strip() for x in reversed(lines[:i]) if x.strip()), "")
-    after = next((x.strip() for x in lines[i + 1 :] if x.strip()), "")
-    letters = [c for c in line if c.isalpha()]
-    upper = sum(c.isupper() for c in letters) / len(letters) if letters else -1
-    digits = sum(c.isdigit() for c in line) / max(1, len(line))
+    width, n, seen, plain = own
+    before = next((x for k in range(i - 1, -1, -1) if (x := lines[k].strip())), "")
+    after = next((x for k in range(i + 1, len(lines)) if (x := lines[k].strip())), "")
+    # Counted in bytes, where deleting is fast; characters beyond ASCII count as small letters.
+    raw = line.encode("ascii", "ignore")
+    letters = len(line) - len(raw) + len(raw.translate(None, _NO_LETTER))
+    upper = len(raw.translate(None, _NO_CAPITAL)) / letters if letters else -1
+    digits = len(raw.translate(None, _NO_DIGIT)) / max(1, len(line))
     place = "first" if not before else "last" if not after else "inner"
     open_ = bool(before) and before[-1] not in ".!?。！？:：…" and not before.endswith((".”", ".»"))
     goes_on = "open" if open_ else "closed"
@@ -116,15 +142,15 @@ def line_features(lines: list[str], i: int, own: tuple[int, int, Counter]) -> li
     lower_next = after[:1].islower() or after[:1].isdigit() or bool(_CJK.match(after[:1]))
     alone = (i == 0 or not lines[i - 1].strip()) and (i + 1 == len(lines) or not lines[i + 1].strip())
     size = min(5, int(5 * len(line) / max(1, width)))
-    year = bool(re.search(r"\b(?:19|20)\d\d\b", line))
-    number = bool(re.fullmatch(r"[\W_]*(?:[^\W\d_]{1,9}\.?\s*)?\d{1,4}(?:\s*(?:/|of|von|de|di|sur|из|\|)\s*\d{1,4})?[\W_]*|第?\s*\d{1,4}\s*[页頁].*", line, re.I))
-    title = bool(letters) and all(w[:1].isupper() or w[:1].isdigit() or not w[:1].isalpha() for w in line.split())
+    year = digits > 0 and ("19" in line or "20" in line) and bool(_YEAR.search(line))
+    number = digits > 0 and bool(_NUMBER.fullmatch(line))
+    title = letters > 0 and all(w[:1].isupper() or w[:1].isdigit() or not w[:1].isalpha() for w in line.split())
     caps = "caps" if upper > 0.9 else "some" if upper > 0.15 else "few"
     one = n == 1
     f = [
         "L", f"L place {place}", f"L size {size}", f"L caps {caps}", f"L end {end}", f"L {goes_on}", f"L num {number}", f"L title {title}", f"L year {year} {end} {size}", f"L shape {_shape(line)}",
         f"L {place} {goes_on} {lower_next}", f"L {goes_on} {end} {place} {size}", f"L {goes_on} {end} {year} {lower_next}", f"L num {number} alone {alone}", f"L title {title} {end} {size}", f"L caps {caps} {end} {year}", f"L title {title} {year} {goes_on}", f"L dig {int(digits * 4)} {size}",
-        f"L seen {min(seen[re.sub(r'[0-9]+', '#', line)], 3)}", f"L one {one}", f"L title {title} {lower_next} {place} {end}", f"L title {title} {place} alone {alone}", f"L sep {bool(re.search(r' [|–—·] ', line))} {end} {size}", f"L len {min(len(line) // 8, 6)} {number}",
+        f"L seen {min(seen[plain[i]], 3)}", f"L one {one}", f"L title {title} {lower_next} {place} {end}", f"L title {title} {place} alone {alone}", f"L sep {bool(_PARTED.search(line))} {end} {size}", f"L len {min(len(line) // 8, 6)} {number}",
     ]
     return f
 
@@ -171,6 +197,8 @@ class Editor:
         self.tables = tables
         self.model = Perceptron()
         self.model.w = weights
+        if weights:
+            self.model.fix()
         self.confusions, self.usual = confusions, usual
         self.wide = {w for w in confusions if _CJK.match(w)}
         self.broken = [w for w in confusions if w and not w.isalnum()]
@@ -474,6 +502,7 @@ def train(proofs: list[tuple[str, str]], usual: dict[str, int]) -> Editor:
             # A fixed order that mixes the three kinds; the number of cases may share no factor with the step.
             model.learn(*cases[(k * step + epoch) % len(cases)] if len(cases) % step else cases[k])
     editor.model.w = model.average()
+    editor.model.fix()
     return editor
 
 
