@@ -157,7 +157,7 @@ def bm25(questions: DataFrame, rows: DataFrame, keep: Column | None = None, most
                             for line, own_terms in zip(s, terms[q : q + STRIP]):
                                 for t in own_terms:
                                     line += f[t]
-                            held.add(q, np.where(s > 0, np.round(s, 6), -np.inf), chunk)
+                            held.add(q, np.where(s > 0, np.round(s, 9), -np.inf), chunk)
             for name, held in best.items():
                 out = held.frame(ids)
                 yield out.assign(**{group: name}) if group else out
@@ -226,11 +226,11 @@ def fused(lists: DataFrame, by: list[str]) -> DataFrame:
     return top(lists.groupBy(*by, "chunk_id").agg(score.alias("score")), by, 1 << 30)
 
 
-def diversified(ranked: DataFrame, rows: DataFrame, by: list[str], most: int = 10, per_document: int = PER_DOCUMENT, reserved: DataFrame | None = None) -> DataFrame:
+def diversified(ranked: DataFrame, rows: DataFrame, by: list[str], most: int = 10, per_document: int = PER_DOCUMENT, reserved: DataFrame | None = None, limits: DataFrame | None = None) -> DataFrame:
     """The first most chunks of each ranking, one a (company, text) and at most per_document a document.
 
     A fold, not windows: a chunk refused for its document doesn't mark its text as taken. With reserved (by..., list, rank, chunk_id), the first
-    chunk of each list that can be taken comes before the rest.
+    chunk of each list that can be taken comes before the rest. limits (by..., most) may lower the number for single rankings.
     """
     ident = rows.select("chunk_id", "document_id", F.concat_ws("\u0001", "company", "text_hash").alias("ident"))
     final = ranked.select(*by, F.lit(1).alias("phase"), F.lit("").alias("list"), "rank", "chunk_id")
@@ -242,4 +242,7 @@ def diversified(ranked: DataFrame, rows: DataFrame, by: list[str], most: int = 1
         (acc, x) -> case when size(acc) < {most} and not exists(acc, y -> y.ident = x.ident) and size(filter(acc, y -> y.doc = x.doc)) < {per_document}
         and not (x.phase = 0 and exists(acc, y -> y.phase = 0 and y.list = x.list)) then concat(acc, array(x)) else acc end)"""
     picked = items.withColumn("item", one).groupBy(*by).agg(F.expr(fold.format("item")).alias("taken"))
+    if limits is not None:
+        # A fold's first entries are what the fold would have stopped at.
+        picked = picked.join(limits, by).withColumn("taken", F.slice("taken", F.lit(1), F.col("most")))
     return picked.select(*by, F.posexplode("taken").alias("p", "t")).select(*by, (F.col("p") + 1).alias("place"), F.col("t.chunk_id").alias("chunk_id"), F.col("t.phase").alias("phase"))

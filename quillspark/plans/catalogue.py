@@ -159,7 +159,7 @@ fp AS (SELECT chunk_id, len, term, (2.0::DOUBLE * (length(lt) - length(replace(l
 f AS (SELECT chunk_id, len, h.t AS term, sum(h.w) AS f FROM u WHERE h.t IN (SELECT term FROM terms) GROUP BY 1, 2, 3 UNION ALL SELECT * FROM fp),
 n AS (SELECT term, count(*) AS df FROM f GROUP BY 1),
 i AS (SELECT term, CASE WHEN ln((rows_n - df + 0.5) / (df + 0.5)) > 0 THEN ln((rows_n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END AS idf, avg_len FROM n, s),
-b AS (SELECT question_id, f.chunk_id, round(sum(idf * f * 2.2 / (f + 1.2 * (1 - 0.75 + 0.75 * len / avg_len)) ORDER BY terms.term), 6) AS score FROM f JOIN i USING (term) JOIN terms USING (term) GROUP BY 1, 2),
+b AS (SELECT question_id, f.chunk_id, round(sum(idf * f * 2.2 / (f + 1.2 * (1 - 0.75 + 0.75 * len / avg_len)) ORDER BY terms.term), 9) AS score FROM f JOIN i USING (term) JOIN terms USING (term) GROUP BY 1, 2),
 lex AS (SELECT b.question_id, b.chunk_id, score, row_number() OVER (PARTITION BY {by} ORDER BY score DESC, b.chunk_id)::INT AS rank FROM b JOIN r ON r.chunk_id = b.chunk_id WHERE {where} QUALIFY rank <= 80)"""
 
 
