@@ -170,6 +170,11 @@ class HistoryIndex:
         df.write.option("compression", "zstd").parquet(where)
         return where
 
+    def _made(self, path: str) -> str:
+        """A folder, made where a batch left it without rows."""
+        self._files()[1].mkdirs(self.spark._jvm.org.apache.hadoop.fs.Path(path))
+        return path
+
     def _read(self, paths: list[str], schema: str) -> DataFrame:
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
@@ -221,12 +226,16 @@ class HistoryIndex:
         Batch 0 is accepted history: it is only indexed.
         """
         sets = batch.where("own is not null").select(F.concat(F.lit("s"), F.sha2(F.array_join("own", ","), 256)).alias("entity"), "own", "doc_id")
-        kinds = [batch.where("ch is not null").select(F.concat(F.lit("c"), "ch").alias("entity"), "doc_id"), batch.where("fp is not null").select(F.concat(F.lit("f"), "fp").alias("entity"), "doc_id"), sets.select("entity", "doc_id")]
-        members = self._write(kinds[0].unionByName(kinds[1]).unionByName(kinds[2]).select("entity", "doc_id", F.lit(number).alias("batch")), "members")
-        distinct = self._write(sets.groupBy("entity").agg(F.first("own").alias("own")), "sets")
-        own_members, own_sets = self._read([members], MEMBERS), self._read([distinct], SETS)
-        posted = self._write(self._posted(own_members.select("entity").distinct(), own_sets), "posted")
-        keyed = self._read([posted], POSTED)
+        of = lambda c, name: batch.where(F.col(c).isNotNull()).select(F.concat(F.lit(name), c).alias("entity"), "doc_id")
+        members = of("ch", "c").unionByName(of("fp", "f")).unionByName(sets.select("entity", "doc_id")).select("entity", "doc_id", F.lit(number).alias("batch"))
+        distinct = sets.groupBy("entity").agg(F.first("own").alias("own"))
+        # The parts of a segment are written in one go, a folder each.
+        where = f"{self.path}/segment-{uuid.uuid4().hex[:12]}"
+        parts = [members.withColumn("part", F.lit("members")), distinct.withColumn("part", F.lit("sets")), self._posted(members.where("not startswith(entity, 's')").select("entity").distinct(), distinct).withColumn("part", F.lit("posted"))]
+        whole = parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
+        whole.write.partitionBy("part").option("compression", "zstd").parquet(where)
+        members, distinct, posted = (self._made(f"{where}/part={n}") for n in ("members", "sets", "posted"))
+        own_members, own_sets, keyed = self._read([members], MEMBERS), self._read([distinct], SETS), self._read([posted], POSTED)
         graph, arcs = self._graph(keyed, keyed.count())
         self.segments.append({"first": number, "last": number, "arcs": arcs, "graph": graph, "posted": posted})
         self.members.append(members)

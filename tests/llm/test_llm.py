@@ -54,7 +54,8 @@ def test_neighbours_against_brute_force(spark):
     x = own.standard_normal((600, 64)).astype(np.float32)
     x[1:40] = x[0]
     rows = [(f"{i:04d}", v.tolist()) for i, v in enumerate(x)] + [("bad", [0.0] * 64), ("nan", [float("nan")] * 64), ("null", None), ("len", [1.0])]
-    out = neighbours.nearest(spark.createDataFrame(rows, "text_hash string, vector array<float>"), block=100).toPandas()
+    df = spark.createDataFrame(rows, "text_hash string, vector array<float>")
+    out = neighbours.nearest(df, block=64, range_rows=2_000).toPandas()
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     s = u.astype(np.float64) @ u.T.astype(np.float64)
     np.fill_diagonal(s, -2)
@@ -64,6 +65,10 @@ def test_neighbours_against_brute_force(spark):
         hit += len({f"{j:04d}" for j in np.argsort(-s[i], kind="stable")[:5]} & got[f"{i:04d}"]) / 5
     assert len(got) == 600 and hit / 560 > 0.9
     assert got["0039"] == {"0000", "0001", "0002", "0003", "0004"}
+    assert neighbours.nearest(df.where("false")).count() == 0
+    one = np.random.default_rng(3).standard_normal((40, 640)).astype(np.float32)
+    at, best = neighbours._top(one, 7)
+    assert (np.sort(best, axis=1) == np.sort(one, axis=1)[:, -7:]).all() and (np.take_along_axis(one, at, 1) == best).all()
 
 
 def test_near_pairs_against_brute_force(spark):
