@@ -51,7 +51,7 @@ def first_hits(results: DataFrame, targets: DataFrame) -> DataFrame:
     """(question_id, target_id, rank): the first result (question_id, rank, company, text) of the target's company that holds all its terms, or null."""
     t = targets.select("question_id", "target_id", F.col("company").alias("want"), "terms")
     norm = results.select("question_id", "rank", "company", normalised(F.col("text")).alias("body"))
-    hit = norm.join(F.broadcast(t), "question_id").where((F.col("company") == F.col("want")) & F.expr("forall(terms, x -> contains(body, x))"))
+    hit = norm.join(t, "question_id").where((F.col("company") == F.col("want")) & F.expr("forall(terms, x -> contains(body, x))"))
     return t.join(hit.groupBy("question_id", "target_id").agg(F.min("rank").alias("rank")), ["question_id", "target_id"], "left").select("question_id", "target_id", "rank")
 
 

@@ -350,17 +350,41 @@ _WANT = ", ".join(f"({q}, {t}, '{w}')" for q, t, w in _TERMS)
 
 
 @_query(f"""WITH {_bm25_sql()}, x AS (SELECT question_id, rank, company, trim(regexp_replace(text, '[\\s\\p{{Z}}]+', ' ', 'g')) AS body FROM lex JOIN r USING (chunk_id) WHERE rank <= 10),
-t(question_id, target_id, term) AS (VALUES {_WANT}), g AS (SELECT question_id, min(company) AS want FROM x WHERE rank = 1 GROUP BY 1),
+t(question_id, target_id, term) AS (VALUES {_WANT}), g AS (SELECT question_id, arg_min(company, r.chunk_id) AS want FROM t JOIN r ON contains(trim(regexp_replace(r.text, '[\\s\\p{{Z}}]+', ' ', 'g')), term) GROUP BY 1),
 h AS (SELECT t.question_id, t.target_id, min(rank) AS rank FROM t LEFT JOIN g USING (question_id) LEFT JOIN x ON x.question_id = t.question_id AND x.company = g.want AND contains(body, term) GROUP BY 1, 2),
 p AS (SELECT question_id, min(CASE WHEN rank IS NOT NULL THEN 1 ELSE 0 END) AS hit, avg(coalesce(1.0::DOUBLE / rank, 0)) AS mrr FROM h GROUP BY 1)
 SELECT count(*) AS cases, round(avg(hit), 6) AS hit_rate, round(avg(mrr), 6) AS mrr FROM p""")
 def eval_hit_mrr(spark, d):
-    from quillspark.staging import stage
+    targets = _targets(spark, d)
+    return evidence.metrics(evidence.first_hits(_found(spark, d), targets))
 
-    found = stage(_found(spark, d), "found")
-    want = found.where("rank = 1").groupBy("question_id").agg(F.min("company").alias("company"))
-    targets = spark.createDataFrame([(q, t, [w]) for q, t, w in _TERMS], "question_id bigint, target_id int, terms array<string>").join(want, "question_id", "left")
-    return evidence.metrics(evidence.first_hits(found, targets))
+
+def _targets(spark, d):
+    """What each question is to find: its term, in a chunk of the company that has the corpus's first chunk with it."""
+    want = spark.createDataFrame([(q, t, [w], w) for q, t, w in _TERMS], "question_id bigint, target_id int, terms array<string>, term string")
+    # Six terms, written above, are held against every chunk.
+    holds = _rows(spark, d).select("chunk_id", "company", tx.normalised(F.col("text")).alias("body")).join(F.broadcast(want), F.expr("contains(body, term)"))
+    first = holds.groupBy("question_id").agg(F.min_by("company", "chunk_id").alias("company"))
+    return want.drop("term").join(first, "question_id", "left")
+
+
+_MODES = f"""WITH {_bm25_sql()}, cut AS (SELECT b.question_id, b.chunk_id, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, b.chunk_id) AS rank FROM b JOIN r USING (chunk_id) WHERE r.publication_date >= '{FIRST}' AND r.publication_date <= '{LAST}'),
+m AS (SELECT 'lexical' AS mode, question_id, chunk_id, rank FROM lex WHERE rank <= 10 UNION ALL SELECT 'dated', question_id, chunk_id, rank FROM cut WHERE rank <= 10),
+x AS (SELECT mode, question_id, rank, company, publication_date, trim(regexp_replace(text, '[\\s\\p{{Z}}]+', ' ', 'g')) AS body FROM m JOIN r USING (chunk_id)), t(question_id, target_id, term) AS (VALUES {_WANT}),
+g AS (SELECT question_id, arg_min(company, r.chunk_id) AS want FROM t JOIN r ON contains(trim(regexp_replace(r.text, '[\\s\\p{{Z}}]+', ' ', 'g')), term) GROUP BY 1),
+h AS (SELECT mode, t.question_id, min(rank) FILTER (WHERE x.company = g.want AND contains(body, term)) AS rank, count(*) FILTER (WHERE x.company IS DISTINCT FROM g.want OR publication_date IS NULL OR publication_date > '{LAST}') AS bad FROM t LEFT JOIN g USING (question_id) JOIN x ON x.question_id = t.question_id GROUP BY 1, 2)
+SELECT mode, count(*) AS cases, round(avg(CASE WHEN rank IS NOT NULL THEN 1 ELSE 0 END), 6) AS hit_rate, round(avg(coalesce(1.0::DOUBLE / rank, 0)), 6) AS mrr, sum(bad)::BIGINT AS violations FROM h GROUP BY 1"""
+
+
+@_query(_MODES)
+def eval_by_mode(spark, d):
+    from quillspark.plans import search
+
+    rows = _rows(spark, d)
+    lists = ranking.bm25(_questions(spark), rows, most=10).select(F.lit("lexical").alias("mode"), "question_id", "chunk_id", "rank")
+    lists = lists.unionByName(ranking.bm25(_questions(spark), rows, ranking.passes(None, None, FIRST, LAST), most=10).select(F.lit("dated").alias("mode"), "question_id", "chunk_id", "rank"))
+    found = lists.join(rows, "chunk_id").select("mode", "question_id", "rank", "company", "publication_date", "text")
+    return search.hits_by_mode(found, _targets(spark, d), LAST)
 
 
 @_query(f"WITH {_bm25_sql()} SELECT question_id, sum(CASE WHEN company IS DISTINCT FROM 'KVR2' OR publication_date IS NULL OR publication_date > '{LAST}' THEN 1 ELSE 0 END)::BIGINT AS wrong FROM lex JOIN r USING (chunk_id) WHERE rank <= 10 GROUP BY 1")
@@ -490,6 +514,11 @@ def quota_hourly(spark, d):
     return limits.admitted(_t(spark, d, "question_log"), ((3, 3600.0),)).where("asked_at is not null").select("id", "client", "accepted")
 
 
+@_query(_fold_sql(limits.LOGIN))
+def login_throttle(spark, d):
+    return limits.admitted(_t(spark, d, "question_log"), limits.LOGIN).where("asked_at is not null").select("id", "client", "accepted")
+
+
 @_query("SELECT user_id, count(*) AS sessions FROM events WHERE event_type = 'signup' AND ts <= TIMESTAMP '2024-01-15 00:00:00' AND ts + INTERVAL 43200 SECOND > TIMESTAMP '2024-01-15 00:00:00' GROUP BY 1")
 def session_active(spark, d):
     return limits.session_active(_t(spark, d, "events"), "2024-01-15 00:00:00")

@@ -80,9 +80,9 @@ def test_answers_are_checked_twice(spark, corpus):
     asked = _ask(spark, ("alpha revenue", None, None, None, None, "lexical", 3, "en"), ("zebra", None, None, None, None, "lexical", 3, "en"))
     results, _ = search.search(asked, rows, names)
     by = lambda f: {r.question_id: r for r in search.answered(asked, results, rows, search.Offline(answer=f)).collect()}
-    fine = '```json\n{"answer": "It rose [S1].", "insufficient_evidence": false, "citations": [{"label": "S1", "quote": "revenue  rose sharply"}]}\n```'
+    fine = '```json\n{"answer": "It rose [S2].", "insufficient_evidence": false, "citations": [{"label": "S2", "quote": "revenue  rose sharply"}]}\n```'
     out = by(lambda q, s, error: fine if error else "not json")
-    assert (out[1].attempts, out[1].code, out[1].answer) == (2, None, "It rose [S1].") and out[2].code == search.NO_EVIDENCE
+    assert (out[1].attempts, out[1].code, out[1].answer) == (2, None, "It rose [S2].") and out[2].code == search.NO_EVIDENCE
     out = by(lambda q, s, error: fine.replace("sharply", "slowly"))
     assert out[1].code == search.ANSWER_FAILED and out[1].answer is None
     out = by(lambda q, s, error: json.dumps({"answer": "unknown", "insufficient_evidence": True, "citations": []}))
