@@ -79,11 +79,6 @@ def pruned(stored: DataFrame, kept: DataFrame, errors: bool = False, excluded: D
     return gone.join(excluded.select("id"), "id", "left_semi") if errors and excluded is not None else gone.where("false") if errors else gone
 
 
-def replace_documents(stored: DataFrame, arriving: DataFrame, key: str) -> DataFrame:
-    """Stored rows with those of arriving keys replaced."""
-    return stored.join(arriving.select(key).distinct(), key, "left_anti").unionByName(arriving)
-
-
 def aliases_of(documents: DataFrame, aliases: DataFrame) -> DataFrame:
     """(company, aliases): every company's aliases, white space put right, distinct and sorted; none is an empty list."""
     tidy = F.trim(F.regexp_replace("alias", r"(?U)\s+", " "))
