@@ -19,6 +19,7 @@ null batch_no counts as 0; repeated rows of a doc_id or chunk count once; extra
 
 from __future__ import annotations
 
+import gc
 import json
 import uuid
 
@@ -165,6 +166,11 @@ class HistoryIndex:
         if not files.rename(path(f".writing-{self.version}"), path(f"manifest-{self.version}")):
             raise RuntimeError(f"manifest {self.version} is there already: another writer was faster")
 
+    def _let_go(self) -> None:
+        """Broadcasts, shuffle files and plans of a finished batch are freed only once the driver's garbage is collected; batch after batch they add up."""
+        gc.collect()
+        self.spark._jvm.java.lang.System.gc()
+
     def _write(self, df: DataFrame, name: str) -> str:
         where = f"{self.path}/{name}-{uuid.uuid4().hex[:12]}"
         df.write.option("compression", "zstd").parquet(where)
@@ -244,6 +250,7 @@ class HistoryIndex:
         self._commit()
         if len(new := [i for i, s in enumerate(self.segments) if s["first"] == s["last"] > 0]) >= COMPACT_EVERY:
             self.compact(new)
+        self._let_go()
         return found if found is not None else self.spark.createDataFrame([], REPEATS)
 
     def _repeats(self, keyed: DataFrame, own_members: DataFrame, own_sets: DataFrame) -> DataFrame:
