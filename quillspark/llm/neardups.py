@@ -9,7 +9,7 @@ a possible start, no other pair is ever looked at, and no pair at the similarity
 cost only.
 
 From the segment where two texts met, the chain grows by one segment at a time, and stops where its cumulative differences leave its budget. A sketch
-gives the differences: the parity of a text's triples in each of 64 cells a segment (twice as many for each doubling of a text beyond 256 triples), which
+gives the differences: the parity of a text's triples in each of 64 cells a segment (twice as many for each doubling of a text beyond 192 triples), which
 differ in no more cells than the triples do. Only for pairs whose chain reaches CHAIN segments are the other segments read and the whole Hamming
 distance held against the whole budget. What is left is compared exactly, triple by triple.
 
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from quillspark.staging import stage
 
 #: Segments of the ring (words of 64 cells in the least sketch), the triples up to which a text has that sketch, and segments of a chain.
-SEGMENTS, NARROW, CHAIN = 8, 256, 4
+SEGMENTS, NARROW, CHAIN = 8, 192, 4
 #: Texts listed under one triple that one task is to hold against each other.
 HOT = 100_000
 #: Cells in which the triples of a sample (one text in SAMPLE) are counted to order them.
@@ -40,6 +40,8 @@ CELLS, SAMPLE, BLOCK = 1 << 20, 4, 1 << 16
 FAR_PLACE = 32_767
 #: Pairs looked at in one go.
 PAIRS = 200_000
+#: Texts of one triple that are held against all others of it in one tile, where there are so many others, and the others in a tile.
+TILE, MANY, WIDE = 64, 12, 4_096
 
 _WORD = re.compile(r"[㐀-䶿一-鿿豈-﫿]|[^\W_㐀-䶿一-鿿豈-﫿]+")
 
@@ -202,8 +204,11 @@ def ring(found: Sketches, i: np.ndarray, j: np.ndarray, start: np.ndarray, simil
     return alive, left
 
 
-def met(ids: np.ndarray, sizes: np.ndarray, row: np.ndarray, key: np.ndarray, place: np.ndarray, similarity: float):
-    """Blocks (i, j, segment) of indices of ids that meet at a key (32 bits, its segment among them) of both prefixes, at places that allow the similarity there."""
+def met(ids: np.ndarray, sizes: np.ndarray, row: np.ndarray, key: np.ndarray, place: np.ndarray, similarity: float, found: Sketches | None = None):
+    """Blocks (i, j, segment) of indices of ids that meet at a key (32 bits, its segment among them) of both prefixes, at places that allow the similarity there.
+
+    With sketches, texts under a common key are held against each other in tiles, and of those only the ones come out that start a chain.
+    """
     ratio = (1 + similarity) / similarity
     segment = _segment(key.astype(np.uint64))
     n, own = sizes.sum(axis=1), sizes[row, segment]
@@ -219,6 +224,23 @@ def met(ids: np.ndarray, sizes: np.ndarray, row: np.ndarray, key: np.ndarray, pl
     beyond = np.searchsorted(ordered, most, side="right").astype(np.uint64)
     ends = np.searchsorted(joint, (joint & np.uint64(0xFFFFFFFF00000000)) | beyond)
     count = np.maximum(0, ends - np.arange(len(joint)) - 1)
+
+    def possible(i, j):
+        ok = (own[j] - place[j]) * ratio + 1e-6 >= own[i] + own[j]
+        i, j = i[ok], j[ok]
+        x, y, where = row[i], row[j], segment[i]
+        ok = (ids[x] != ids[y]) & (np.minimum(n[x], n[y]) >= similarity * np.maximum(n[x], n[y]) - 1e-6)
+        return x[ok], y[ok], where[ok]
+
+    if found is not None and len(row):
+        # The words of a segment's sketch, folded to several widths; none for texts whose own is narrower.
+        folds = [[np.where((to := found.where[w][row]) >= 0, found.folded[w][to, segment + m], np.uint64(0)) for m in range(0, w, SEGMENTS)] for w in (SEGMENTS, 2 * SEGMENTS, 4 * SEGMENTS) if w in found.folded]
+        cells = folds[0][0]
+        # Shares in 128ths, rounded up; two of 255 hold all 256 cells.
+        shares = np.minimum(np.ceil(own * ((1 - similarity) / (1 + similarity)) * 128 + 1e-3), 255 * 128).astype(np.uint16)
+        for i, j in _tiles(np.flatnonzero(count >= MANY), ends, joint >> np.uint64(32), folds, found.width[row], shares):
+            yield possible(i, j)
+        count = np.where(count >= MANY, 0, count)
     upto = np.cumsum(count)
     for low in range(0, int(upto[-1]) if len(upto) else 0, PAIRS):
         high = min(low + PAIRS, int(upto[-1]))
@@ -228,11 +250,35 @@ def met(ids: np.ndarray, sizes: np.ndarray, row: np.ndarray, key: np.ndarray, pl
         part = np.minimum(upto[a:b], high) - first
         i = np.repeat(np.arange(a, b), part)
         j = np.arange(high - low) - np.repeat(np.cumsum(part) - part, part) + np.repeat(first - begin, part) + i + 1
-        ok = (own[j] - place[j]) * ratio + 1e-6 >= own[i] + own[j]
-        i, j = i[ok], j[ok]
-        x, y, where = row[i], row[j], segment[i]
-        ok = (ids[x] != ids[y]) & (np.minimum(n[x], n[y]) >= similarity * np.maximum(n[x], n[y]) - 1e-6)
-        yield x[ok], y[ok], where[ok]
+        if found is not None:
+            near = np.flatnonzero(np.left_shift(np.bitwise_count(cells[i] ^ cells[j]), 7, dtype=np.uint16) <= shares[i] + shares[j])
+            i, j = i[near], j[near]
+        yield possible(i, j)
+
+
+def _tiles(rows: np.ndarray, ends: np.ndarray, key: np.ndarray, folds: list[list[np.ndarray]], widths: np.ndarray, shares: np.ndarray):
+    """Blocks (i, j): of each of the rows and those after it up to its end, the ones whose cells differ within the shares of both."""
+    kept, held = [], 0
+    cuts = np.flatnonzero(np.diff(key[rows].astype(np.int64))) + 1
+    for of_key in np.split(rows, cuts) if len(rows) else []:
+        for k in range(0, len(of_key), TILE):
+            a = of_key[k : k + TILE]
+            for low in range(int(a[0]) + 1, int(ends[a].max()), WIDE):
+                high = min(low + WIDE, int(ends[a].max()))
+                # Texts of a key stand by size, so that a tile has about one width; the widest that all of it have tells most.
+                width = min(int(widths[a].min()), int(widths[low:high].min())) // SEGMENTS
+                fold = folds[min(len(folds), width.bit_length()) - 1]
+                apart = np.left_shift(sum(np.bitwise_count(cells[a][:, None] ^ cells[None, low:high]).astype(np.uint16) for cells in fold), 7)
+                at = np.flatnonzero(apart <= shares[a][:, None] + shares[None, low:high])
+                i, j = a[at // (high - low)], low + at % (high - low)
+                ok = (j > i) & (j < ends[i])
+                kept.append((i[ok], j[ok]))
+                held += len(kept[-1][0])
+                if held >= PAIRS:
+                    yield tuple(map(np.concatenate, zip(*kept)))
+                    kept, held = [], 0
+    if kept:
+        yield tuple(map(np.concatenate, zip(*kept)))
 
 
 def spread(part: np.ndarray, often: np.ndarray, block: np.ndarray, parts: int, hot: int) -> tuple[np.ndarray, np.ndarray]:
@@ -302,7 +348,7 @@ def candidates(texts: DataFrame, similarity: float, least_words: int, hot: int =
         starts = starts - starts[0]
         sizes, heads = sizes_of(words, starts, widths)
         found = Sketches(words.view(np.uint64), starts + heads, widths - heads, sizes)
-        for i, j, segment in met(ids, sizes, row, key, place, similarity):
+        for i, j, segment in met(ids, sizes, row, key, place, similarity, found):
             alive, _ = ring(found, i, j, segment, similarity)
             if len(alive):
                 i, j = i[alive], j[alive]

@@ -124,6 +124,34 @@ def test_ring_prunes_before_the_whole_distance_and_loses_nothing():
         assert within[alive].all()
 
 
+def test_tiles_find_every_start():
+    own = np.random.default_rng(21)
+    common, sets = own.integers(0, 1 << 63, 400).astype(np.uint64), []
+    for k in range(260):
+        size = (40, 90, 230, 700)[k % 4]
+        base = np.concatenate([own.choice(common, size // 3, replace=False), own.integers(0, 1 << 63, size - size // 3).astype(np.uint64)])
+        sets += [np.unique(base), np.unique(np.concatenate([base[size // 5 :], own.integers(0, 1 << 63, size // 5).astype(np.uint64)]))]
+    found, (i, j, start) = _posted(sets, 0.5)
+    flat = lambda x: {(min(a, b), max(a, b), s) for a, b, s in zip(*(y.tolist() for y in x))}
+    posted = neardups.prefixes(sets, np.zeros(neardups.CELLS, np.uint8), 0.5)
+    tiled = [np.concatenate(x) for x in zip(*neardups.met(np.arange(len(sets)), posted[3].astype(np.int64), posted[0], posted[1].astype(np.uint32), posted[2], 0.5, found))]
+    alive, left = neardups.ring(found, i, j, start, 0.5)
+    again, same = neardups.ring(found, *tiled, 0.5)
+    assert flat((i[alive], j[alive], start[alive])) == flat([x[again] for x in tiled]) and left == same
+    assert flat(tiled) < flat((i, j, start)) and len(tiled[0]) < 0.6 * len(i)
+
+
+def test_sketches_of_middling_texts_are_not_full():
+    """Texts of a few hundred triples with little in common: as many pairs as texts squared, none of which may be left for the exact comparison."""
+    own = np.random.default_rng(22)
+    common = own.integers(0, 1 << 63, 1_000).astype(np.uint64)
+    sets = [np.unique(own.choice(common, 250, replace=False)) for _ in range(300)]
+    found, _ = _posted(sets, 0.5)
+    i, j = np.triu_indices(len(sets), 1)
+    alive, _ = neardups.ring(found, i, j, np.zeros(len(i), np.int64), 0.5)
+    assert len(alive) == 0
+
+
 def test_heads_of_sketches():
     sizes = [np.arange(8), np.arange(8) * 60_000, np.zeros(8, np.int64) + 65_535]
     rows = [np.concatenate([neardups.head(s), np.zeros(8 << k, np.int64)]) for k, s in enumerate(sizes)]
