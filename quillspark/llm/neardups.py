@@ -5,8 +5,8 @@ on both sides; so, going round the ring of segments, there is one from which eve
 shares being proportional to the triples that the two texts have in a segment (were every start overdrawn somewhere, the whole ring would be). In the
 segment a chain starts at, the two texts have the similarity s themselves, so they share a triple among the first of both there, rarest first, and early
 enough for what follows to hold the others. The index therefore lists each text under the rare triples of each segment; texts that meet in a segment are
-a possible start, no other pair is ever looked at, and no pair at the similarity is lost. The order of triples is estimated on a sample, which bears on
-cost only.
+a possible start, no other pair is ever looked at, and no pair at the similarity is lost. Triples are ordered by how often they occur in all texts,
+counted by cells of their hashes, of which there are the more the more texts there are; what is alone in its cell can't be shared and isn't listed.
 
 From the segment where two texts met, the chain grows by one segment at a time, and stops where its cumulative differences leave its budget. A sketch
 gives the differences: the parity of a text's triples in each of 64 cells a segment (twice as many for each doubling of a text beyond 192 triples), which
@@ -34,8 +34,10 @@ from quillspark.staging import stage
 SEGMENTS, NARROW, CHAIN = 8, 192, 4
 #: Texts listed under one triple that one task is to hold against each other.
 HOT = 100_000
-#: Cells in which the triples of a sample (one text in SAMPLE) are counted to order them.
-CELLS, SAMPLE, BLOCK = 1 << 20, 4, 1 << 16
+#: Cells in which triples are counted to order them: at least, at most, a text, and in a block. More triples than cells make the order coarser, no pair is lost.
+CELLS, MOST_CELLS, CELLS_A_TEXT, BLOCK = 1 << 20, 1 << 26, 64, 1 << 16
+#: The count, as it is kept, of a triple that is alone.
+ALONE = 8
 #: Places of triples are told apart up to this one, which only makes later ones pass.
 FAR_PLACE = 32_767
 #: Pairs looked at in one go.
@@ -80,35 +82,47 @@ class Triples:
         return np.unique(t * np.uint64(0xD6E8FEB86659FD93))
 
 
-def rarity(texts: DataFrame, least_words: int) -> np.ndarray:
-    """How often triples occur in a sample of the texts, by the upper bits of their hashes, as a logarithm in a byte."""
+def rarity(texts: DataFrame, least_words: int, cells: int = CELLS) -> np.ndarray:
+    """How often triples occur in the texts, by the upper bits of their hashes, as a logarithm in a byte: ALONE is one, less is none."""
+
+    def rows(total):
+        at = np.flatnonzero(total)
+        cuts = np.searchsorted(at, np.arange(0, cells + 1, BLOCK))
+        own = [(k, at[a:b]) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+        return pd.DataFrame({"block": [k for k, _ in own], "at": [(x % BLOCK).astype(np.uint16).tobytes() for _, x in own], "counts": [total[x].tobytes() for _, x in own]})
 
     def count(batches):
-        triples, total, seen = Triples(), np.zeros(CELLS, np.int64), set()
+        triples, total, held, seen = Triples(), np.zeros(cells, np.uint16), 0, set()
         for pdf in batches:
             for i, text in zip(pdf.id, pdf.text):
                 if i not in seen and (t := triples.of(text, least_words)) is not None:
-                    np.add.at(total, _cell(t), 1)
+                    # Triples of one text that share a cell count once: what another text has there makes two.
+                    cell = _cell(t, cells)
+                    total[cell] += 1
+                    held += 1
+                    if held == 65_535:
+                        yield rows(total)
+                        total[:], held = 0, 0
                 seen.add(i)
                 if len(seen) > 2_000_000:
                     seen.clear()
-        if total.any():
-            counts = np.minimum(total, 65_535).astype(np.uint16).reshape(-1, BLOCK)
-            yield pd.DataFrame({"block": range(len(counts)), "counts": [c.tobytes() for c in counts]})
+        if held:
+            yield rows(total)
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(c, np.uint16).astype(np.int64) for c in pdf.counts)
+        total = np.zeros(BLOCK, np.int64)
+        for at, counts in zip(pdf["at"], pdf["counts"]):
+            total[np.frombuffer(at, np.uint16)] += np.frombuffer(counts, np.uint16)
         return pd.DataFrame({"block": [pdf.block.iloc[0]], "counts": [np.minimum(255, 8 * np.log2(1 + total)).astype(np.uint8).tobytes()]})
 
-    sample = texts.where(f"id % {SAMPLE} = 0").mapInPandas(count, "block int, counts binary")
-    out = np.zeros((CELLS // BLOCK, BLOCK), np.uint8)
-    for r in sample.groupBy("block").applyInPandas(add, "block int, counts binary").collect():
+    out = np.zeros((cells // BLOCK, BLOCK), np.uint8)
+    for r in texts.mapInPandas(count, "block int, at binary, counts binary").groupBy("block").applyInPandas(add, "block int, counts binary").collect():
         out[r.block] = np.frombuffer(r.counts, np.uint8)
     return out.ravel()
 
 
-def _cell(t: np.ndarray) -> np.ndarray:
-    return (t >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)
+def _cell(t: np.ndarray, cells: int) -> np.ndarray:
+    return (t >> np.uint64(64 - cells.bit_length() + 1)).astype(np.int64)
 
 
 def _segment(t: np.ndarray) -> np.ndarray:
@@ -120,7 +134,7 @@ def prefixes(sets: list[np.ndarray], order: np.ndarray, similarity: float) -> tu
     n = np.array([len(s) for s in sets])
     flat, own = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
     box = own * SEGMENTS + _segment(flat)
-    at = np.lexsort((flat, order[_cell(flat)], box))
+    at = np.lexsort((flat, order[_cell(flat, len(order))], box))
     size = np.bincount(box, minlength=len(sets) * SEGMENTS)
     place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
     keep = place <= np.repeat(size - np.ceil(similarity * size - 1e-9).astype(np.int64), size)
@@ -291,18 +305,20 @@ def spread(part: np.ndarray, often: np.ndarray, block: np.ndarray, parts: int, h
     return at, np.where(blocks[at] > 1, (part[at].astype(np.int64) * 1_000_003 + cell * 7_919) % parts, part[at]).astype(np.int32)
 
 
-def candidates(texts: DataFrame, similarity: float, least_words: int, hot: int = HOT) -> DataFrame:
+def candidates(texts: DataFrame, similarity: float, least_words: int, hot: int = HOT, cells: int = CELLS) -> DataFrame:
     """(a, b): ids (64 bits of the text_hash) of texts with a chain and within the whole budget; all pairs at the similarity are among them."""
     import pyarrow as pa
 
     spark = texts.sparkSession
-    order = spark.sparkContext.broadcast(rarity(texts, least_words))
+    order = spark.sparkContext.broadcast(rarity(texts, least_words, cells))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     names = ["part", "id", "keys", "places", "sketch"]
 
     def rows(ids, sets):
         own, flat, place, sizes = prefixes(sets, order.value, similarity)
-        often = (SAMPLE * (np.exp2(order.value[_cell(flat)] / 8) - 1)).astype(np.int64)
+        often = order.value[_cell(flat, cells)]
+        shared = often > ALONE
+        own, flat, place, often = own[shared], flat[shared], place[shared], np.exp2((often[shared] + 1) / 8).astype(np.int64)
         at, part = spread(((flat >> np.uint64(32)) % np.uint64(parts)).astype(np.int32), often, np.array(ids, np.int64)[own] & 0xFFFF, parts, hot)
         own, flat, place = own[at], flat[at], place[at]
         at = np.lexsort((part, own))
@@ -362,7 +378,8 @@ def candidates(texts: DataFrame, similarity: float, least_words: int, hot: int =
 def near_pairs(chunks: DataFrame, similarity: float = 0.5, least_words: int = 30, hot: int = HOT) -> DataFrame:
     """(text_hash_a, text_hash_b, similarity), a < b: pairs of different texts that share enough of their distinct word triples."""
     texts = chunks.where("text is not null and text_hash is not null").select(F.conv(F.substring("text_hash", 1, 15), 16, 10).cast("bigint").alias("id"), "text_hash", "text")
-    pairs = stage(candidates(texts.select("id", "text"), similarity, least_words, hot), "candidates")
+    cells = min(MOST_CELLS, max(CELLS, 1 << (CELLS_A_TEXT * chunks.count()).bit_length()))
+    pairs = stage(candidates(texts.select("id", "text"), similarity, least_words, hot, cells), "candidates")
 
     def sets(batches):
         triples = Triples()

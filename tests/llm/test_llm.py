@@ -124,6 +124,18 @@ def test_ring_prunes_before_the_whole_distance_and_loses_nothing():
         assert within[alive].all()
 
 
+def test_triples_of_every_text_are_counted(spark):
+    """Odd ids only, which a sample of one id in four would leave out; a triple of two texts is never taken for one that is alone."""
+    texts = [" ".join(f"w{k}x{i}" for i in range(30)) + " one two three" for k in range(5)]
+    df = spark.createDataFrame([(2 * k + 1, t) for k, t in enumerate(texts)] + [(1, texts[0]), (11, None)], "id bigint, text string").coalesce(1)
+    for cells in (neardups.CELLS, 4 * neardups.CELLS):
+        order = neardups.rarity(df, 30, cells)
+        of = [order[neardups._cell(neardups.Triples().of(t, 30), cells)] for t in texts]
+        assert len(order) == cells and all((x == neardups.ALONE).sum() >= 30 and (x > neardups.ALONE).sum() >= 1 and x.min() == neardups.ALONE for x in of)
+        assert (order > neardups.ALONE).sum() == (order == int(8 * np.log2(6))).sum() == 1
+    assert not neardups.rarity(df.where("false"), 30).any()
+
+
 def test_tiles_find_every_start():
     own = np.random.default_rng(21)
     common, sets = own.integers(0, 1 << 63, 400).astype(np.uint64), []
