@@ -310,13 +310,14 @@ def candidates(texts: DataFrame, similarity: float, least_words: int, hot: int =
     import pyarrow as pa
 
     spark = texts.sparkSession
-    order = spark.sparkContext.broadcast(rarity(texts, least_words, cells))
+    # Most cells are empty or alone: packed, the counts take a fraction of the disk that copies of a broadcast lie on.
+    packed = spark.sparkContext.broadcast(pa.compress(rarity(texts, least_words, cells).tobytes(), codec="zstd", asbytes=True))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     names = ["part", "id", "keys", "places", "sketch"]
 
-    def rows(ids, sets):
-        own, flat, place, sizes = prefixes(sets, order.value, similarity)
-        often = order.value[_cell(flat, cells)]
+    def rows(ids, sets, order):
+        own, flat, place, sizes = prefixes(sets, order, similarity)
+        often = order[_cell(flat, cells)]
         shared = often > ALONE
         own, flat, place, often = own[shared], flat[shared], place[shared], np.exp2((often[shared] + 1) / 8).astype(np.int64)
         at, part = spread(((flat >> np.uint64(32)) % np.uint64(parts)).astype(np.int32), often, np.array(ids, np.int64)[own] & 0xFFFF, parts, hot)
@@ -333,6 +334,7 @@ def candidates(texts: DataFrame, similarity: float, least_words: int, hot: int =
 
     def list_all(batches):
         triples, seen, ids, sets = Triples(), set(), [], []
+        order = np.frombuffer(pa.decompress(packed.value, cells, codec="zstd"), np.uint8)
         for batch in batches:
             for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
                 if i in seen:
@@ -344,10 +346,10 @@ def candidates(texts: DataFrame, similarity: float, least_words: int, hot: int =
                     ids.append(i)
                     sets.append(t)
                 if len(ids) == 256:
-                    yield rows(ids, sets)
+                    yield rows(ids, sets, order)
                     ids, sets = [], []
         if ids:
-            yield rows(ids, sets)
+            yield rows(ids, sets, order)
 
     def pair(batches):
         held = [b for b in batches if len(b)]
@@ -375,24 +377,45 @@ def candidates(texts: DataFrame, similarity: float, least_words: int, hot: int =
     return texts.mapInArrow(list_all, schema).repartitionById(parts, "part").mapInArrow(pair, "a bigint, b bigint").distinct()
 
 
+def marked(ids: DataFrame, cells: int) -> np.ndarray:
+    """A bit for each of the cells that 60-bit ids fall in, by their upper bits."""
+    shift = 60 - cells.bit_length() + 1
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(BLOCK, np.uint8)
+        bits[pdf.cell.to_numpy() % BLOCK] = 1
+        return pd.DataFrame({"block": [pdf.block.iloc[0]], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+
+    out = np.zeros((cells // BLOCK, BLOCK // 8), np.uint8)
+    at = ids.select(F.shiftright("id", shift).alias("cell")).withColumn("block", F.shiftright("cell", BLOCK.bit_length() - 1))
+    for r in at.distinct().groupBy("block").applyInPandas(pack, "block bigint, bits binary").collect():
+        out[r.block] = np.frombuffer(r.bits, np.uint8)
+    return out.ravel()
+
+
 def near_pairs(chunks: DataFrame, similarity: float = 0.5, least_words: int = 30, hot: int = HOT) -> DataFrame:
     """(text_hash_a, text_hash_b, similarity), a < b: pairs of different texts that share enough of their distinct word triples."""
     texts = chunks.where("text is not null and text_hash is not null").select(F.conv(F.substring("text_hash", 1, 15), 16, 10).cast("bigint").alias("id"), "text_hash", "text")
     cells = min(MOST_CELLS, max(CELLS, 1 << (CELLS_A_TEXT * chunks.count()).bit_length()))
     pairs = stage(candidates(texts.select("id", "text"), similarity, least_words, hot, cells), "candidates")
 
+    # Only texts that have a candidate are cut into triples again, each once a task; texts that merely share their bit find no pair to join.
+    involved = texts.sparkSession.sparkContext.broadcast(marked(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))), cells))
+
     def sets(batches):
-        triples = Triples()
+        triples, bits, seen, shift = Triples(), involved.value, set(), 60 - cells.bit_length() + 1
         for pdf in batches:
-            rows = []
+            rows, cell = [], pdf.id.to_numpy() >> shift
+            pdf = pdf[(bits[cell >> 3] >> (cell & 7) & 1).astype(bool)]
             for i, name, text in zip(pdf.id, pdf.text_hash, pdf.text):
-                if (t := triples.of(text, least_words)) is not None:
+                if i not in seen and (t := triples.of(text, least_words)) is not None:
                     rows.append((i, name, (t >> np.uint64(32)).astype(np.uint32).tobytes()))
+                if len(seen) > 2_000_000:
+                    seen.clear()
+                seen.add(i)
             yield pd.DataFrame(rows, columns=["id", "text_hash", "triples"])
 
-    # Only texts that have a candidate are cut into triples again, each once.
-    involved = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    own = texts.dropDuplicates(["id"]).join(involved, "id", "left_semi").mapInPandas(sets, "id bigint, text_hash string, triples binary")
+    own = texts.mapInPandas(sets, "id bigint, text_hash string, triples binary").dropDuplicates(["id"])
     own = stage(own, "triples")
     side = lambda x: own.select(F.col("id").alias(x), F.col("text_hash").alias(f"h_{x}"), F.col("triples").alias(f"t_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("h_a", "h_b", "t_a", "t_b")

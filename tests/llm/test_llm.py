@@ -136,6 +136,17 @@ def test_triples_of_every_text_are_counted(spark):
     assert not neardups.rarity(df.where("false"), 30).any()
 
 
+def test_texts_with_candidates_are_marked(spark):
+    own = np.random.default_rng(23)
+    ids = [0, (1 << 60) - 1, *own.integers(0, 1 << 60, 500).tolist()]
+    bits = neardups.marked(spark.createDataFrame([(i,) for i in ids * 2], "id bigint"), neardups.CELLS)
+    cell = np.array(ids) >> 40
+    assert len(bits) == neardups.CELLS // 8 and (bits[cell >> 3] >> (cell & 7) & 1).all() and np.bitwise_count(bits).sum() == len(set(cell.tolist()))
+    words = [f"w{i}" for i in range(60)]
+    df = spark.createDataFrame([(f"{i:015x}", " ".join([*words, f"x{i}"])) for i in range(6)] + [("f" * 15, " ".join(map(str, range(90))))], "text_hash string, text string")
+    assert neardups.near_pairs(df).count() == 15
+
+
 def test_tiles_find_every_start():
     own = np.random.default_rng(21)
     common, sets = own.integers(0, 1 << 63, 400).astype(np.uint64), []
