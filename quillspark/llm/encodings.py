@@ -1,8 +1,8 @@
 """Text that was decoded with the wrong character encoding (problem 9): mappings learned from twins.
 
 Twins are two stretches that agree once non-ASCII characters are stripped: clauses with the same ASCII letters, or what follows and precedes the same
-ASCII word in text that has few letters of that kind. The more usual of two twins is the clean one. Their non-ASCII runs are aligned side by side, and each
-aligned pair is asked which chains of (written in, read as) turn the clean run into the garbled one; so the pairs fill byte maps. A map is learned when
+ASCII word in text that has few letters of that kind. The more usual of two twins is the clean one; of several that a clause may have, the
+one that explains most of it. Their non-ASCII runs are aligned side by side, and each aligned pair is asked which chains of (written in, read as) turn the clean run into the garbled one; so the pairs fill byte maps. A map is learned when
 enough aligned characters confirm it that no better confirmed map explains; the published code page it agrees with supplies the bytes that no twin
 showed. Pairs that no map explains, because characters were lost, are learned as they are; a character that stands for several others in twins is
 learned as a lost mark.
@@ -22,7 +22,7 @@ from collections import Counter
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.staging import stage
@@ -39,8 +39,6 @@ USUAL_SHARE, USUAL_LEAST = 1e-4, 3
 LEARNED_LEAST, LOST_LEAST = 3, 3
 #: Letters a clause has to keep, once stripped, to have twins; letters of a word that anchors the text beside it, and how much of that is aligned.
 SKELETON, ANCHOR, BESIDE = 7, 4, 24
-#: Most usual forms that count as the clean ones beside an anchor.
-FORMS = 4
 SALTS = 16
 #: How much more usual (as a factor) the words a repair brings must be.
 GAIN = 3.0
@@ -362,14 +360,22 @@ def learn(docs: DataFrame) -> Mender:
     seen = stage(docs.select("text").mapInPandas(count, "skeleton string, own string, n bigint").groupBy("skeleton", "own").agg(F.sum("n").alias("n")), "seen")
     least = max(USUAL_LEAST, math.ceil(USUAL_SHARE * n))
     usual = {r.own: r.n for r in seen.where((F.col("skeleton") == "") & (F.col("n") >= least)).select("own", "n").toLocalIterator()}
-    # The most usual forms of a key are the clean ones; all its other forms are held against them, salted so that no key is one task.
-    twin = seen.where("skeleton <> ''")
-    by = Window.partitionBy("skeleton").orderBy(F.desc("n"), "own")
-    top = twin.withColumn("place", F.row_number().over(by)).where(F.col("place") <= FORMS)
+    # Every form is held against all that may be its clean one: clauses against those three times as usual of the same ASCII text, what stands beside an
+    # anchor against all beside it; salted so that no key is one task.
     anchored = F.col("skeleton").rlike("^[<>]")
-    clean = top.where(anchored | ((F.col("place") == 1) & (F.col("n") > 1))).select("skeleton", F.col("own").alias("clean"), F.col("n").alias("times"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    shape = F.when(anchored, "").otherwise(F.regexp_replace(F.regexp_replace("own", r"[^\x00-\x7f]+", "0"), " ", ""))
+    twin = seen.where("skeleton <> ''").withColumn("shape", shape)
+    clean = twin.where(anchored | (F.col("n") > 1)).select("skeleton", "shape", F.col("own").alias("clean"), F.col("n").alias("times"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     rest = twin.withColumn("salt", F.pmod(F.hash("own"), F.lit(SALTS)))
-    pairs = rest.join(clean, ["skeleton", "salt"]).where((F.col("own") != F.col("clean")) & (anchored | (F.col("times") >= 3 * F.col("n")))).select("skeleton", F.col("own").alias("garbled"), "clean", "n")
+    pairs = rest.join(clean, ["skeleton", "shape", "salt"]).where((F.col("own") != F.col("clean")) & (anchored | (F.col("times") >= 3 * F.col("n")))).select("skeleton", F.col("own").alias("garbled"), "clean", "n", "times")
+
+    def told(batches):
+        for pdf in batches:
+            yield pdf.assign(told=[sum(len(run) for run, was in align(g, c) if explained(run, was)) for g, c in zip(pdf.garbled, pdf.clean)])
+
+    # A clause was one text before: of all it was held against, the one that chains explain most of it from, and then the most usual.
+    one = pairs.where(~anchored).mapInPandas(told, "skeleton string, garbled string, clean string, n bigint, times bigint, told bigint").groupBy("skeleton", "garbled", "n").agg(F.max(F.struct("told", "times", "clean")).alias("best"))
+    pairs = pairs.where(anchored).drop("times").unionByName(one.select("skeleton", "garbled", F.col("best.clean").alias("clean"), "n"))
 
     def infer(batches):
         for pdf in batches:

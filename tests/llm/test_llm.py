@@ -265,6 +265,18 @@ def test_only_taught_readings_are_undone(spark):
             assert got == {}
 
 
+def test_twins_beyond_the_most_usual_forms_teach(spark):
+    """The clean text is the least usual of six beside its word, and the second of two forms of a clause."""
+    wide = ["本公司董事会认为", "报告期内实现收入", "截至年末总资产为", "该项目预计于明年", "股东大会审议通过", "根据会计准则规定"]
+    lines = [f"Alpha{w} x" for k, w in enumerate(wide) for _ in range(12 - k)] + ["Alpha" + encodings.garble(wide[-1], (("utf-8", "cp1251"),)) + " x"] * 2
+    mender = encodings.learn(spark.createDataFrame([(line,) for line in lines], "text string"))
+    assert "utf-8 as cp1251" in mender.learned
+    bad = encodings.garble("pêche côtière", (("utf-8", "mac_roman"),))
+    lines = ["La pôche câtiâre du Nord"] * 20 + ["La pêche côtière du Nord"] * 9 + [f"La {bad} du Nord"] * 2
+    mender = encodings.learn(spark.createDataFrame([(line,) for line in lines], "text string"))
+    assert "utf-8 as mac_roman" in mender.learned
+
+
 def test_confirmed_maps_explain_something_of_their_own():
     votes = {("utf-8 as cp1252", "utf-8 as cp1250"): 20, ("utf-8 as cp1252",): 5, ("utf-8 as latin-1",): 4, ("utf-8 as cp437",): 2}
     assert encodings.confirmed(votes) == {"utf-8 as cp1252": 25, "utf-8 as latin-1": 4}
