@@ -25,6 +25,7 @@ import uuid
 
 import numpy as np
 import pandas as pd
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -126,16 +127,33 @@ def _arc(key, arcs: int):
     return F.shiftrightunsigned(key, 64 - (arcs.bit_length() - 1)) if arcs > 1 else F.lit(0).cast("bigint")
 
 
-GRAPH = "arc bigint, keys binary, links binary"
+GRAPH = "first int, arc bigint, keys binary, links binary"
 
 
 def _build(pdf: pd.DataFrame) -> pd.DataFrame:
     keys = np.unique(pdf.key.to_numpy().view(np.uint64))
-    return pd.DataFrame({"arc": pdf.arc.iloc[:1], "keys": [keys.tobytes()], "links": [build_graph(keys).tobytes()]})
+    return pd.DataFrame({"first": pdf["first"].iloc[:1], "arc": pdf.arc.iloc[:1], "keys": [keys.tobytes()], "links": [build_graph(keys).tobytes()]})
+
+
+def _trim(spark: SparkSession) -> str:
+    """What the driver's JVM freed outside its heap stays with the C library, which gives it back only when told to; "" where the JVM can't tell it."""
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    kinds, given = gateway.new_array(jvm.java.lang.Class, 4), gateway.new_array(jvm.java.lang.Object, 4)
+    for i, name in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+        kinds[i] = jvm.java.lang.Class.forName(name)
+    given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    try:
+        call = jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethod("invoke", kinds)
+        return call.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), given)
+    except Py4JError:
+        return ""
 
 
 class HistoryIndex:
-    """A lasting index in a folder. ``segments`` has, by number, the first and last batch, the arcs and where the parts lie."""
+    """A lasting index in a folder. ``segments`` has, by number, the first and last batch, the arcs and where the parts lie.
+
+    The rows of a segment carry its first batch, so that one scan reads all segments and plans stay the same size however many there are.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -167,9 +185,10 @@ class HistoryIndex:
             raise RuntimeError(f"manifest {self.version} is there already: another writer was faster")
 
     def _let_go(self) -> None:
-        """Broadcasts, shuffle files and plans of a finished batch are freed only once the driver's garbage is collected; batch after batch they add up."""
+        """Broadcasts, shuffle files and plans of finished steps are freed only once the driver's garbage is collected; step after step they add up."""
         gc.collect()
         self.spark._jvm.java.lang.System.gc()
+        _trim(self.spark)
 
     def _write(self, df: DataFrame, name: str) -> str:
         where = f"{self.path}/{name}-{uuid.uuid4().hex[:12]}"
@@ -202,29 +221,26 @@ class HistoryIndex:
         one = entities.where("not startswith(entity, 's')").select(F.xxhash64("entity").alias("key"), "entity")
         return one.unionByName(first.select(F.xxhash64(F.concat(F.lit("t"), "x.h")).alias("key"), "entity"))
 
-    def _graph(self, keys: DataFrame, rows: int) -> tuple[str, int]:
+    def _graph(self, keys: DataFrame, rows: int, first: int) -> tuple[str, int]:
         """Writes the graphs of keys, of which there are no more than rows."""
         arcs = 1 << (max(1, -(-rows // SHARD_KEYS)) - 1).bit_length()
-        return self._write(keys.select("key").distinct().withColumn("arc", _arc(F.col("key"), arcs)).groupBy("arc").applyInPandas(_build, GRAPH), "graph"), arcs
+        return self._write(keys.select("key").distinct().select(F.lit(first).alias("first"), "key", _arc(F.col("key"), arcs).alias("arc")).groupBy("first", "arc").applyInPandas(_build, GRAPH), "graph"), arcs
 
     def search(self, keys: DataFrame) -> DataFrame:
-        """(key, segment): the segments whose graphs hold a key."""
+        """(key, first): the segments, by their first batches, whose graphs hold a key."""
         asked = keys.select("key").distinct()
-        asked = asked.select("key", F.explode(F.array(*(F.struct(F.lit(i).alias("segment"), _arc(F.col("key"), s["arcs"]).alias("arc")) for i, s in enumerate(self.segments)))).alias("s")).select("key", "s.*")
-        graph = None
-        for i, s in enumerate(self.segments):
-            part = self._read([s["graph"]], GRAPH).select(F.lit(i).alias("segment"), "*")
-            graph = part if graph is None else graph.unionByName(part)
+        asked = asked.select("key", F.explode(F.array(*(F.struct(F.lit(s["first"]).alias("first"), _arc(F.col("key"), s["arcs"]).alias("arc")) for s in self.segments))).alias("s")).select("key", "s.*")
+        graph = self._read([s["graph"] for s in self.segments], GRAPH)
 
         def find(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             if len(left) == 0 or len(right) == 0:
-                return pd.DataFrame({"key": np.array([], np.int64), "segment": np.array([], np.int32)})
+                return pd.DataFrame({"key": np.array([], np.int64), "first": np.array([], np.int32)})
             g, own = right.iloc[0], left.key.to_numpy().view(np.uint64)
             keys = np.frombuffer(g["keys"], np.uint64)
             at, _ = tuned_search(keys, np.frombuffer(g.links, np.int32).reshape(-1, NEAR + FAR), own)
-            return pd.DataFrame({"key": own[keys[at] == own].view(np.int64), "segment": np.int32(g.segment)})
+            return pd.DataFrame({"key": own[keys[at] == own].view(np.int64), "first": np.int32(g["first"])})
 
-        return asked.groupBy("segment", "arc").cogroup(graph.groupBy("segment", "arc")).applyInPandas(find, "key bigint, segment int")
+        return asked.groupBy("first", "arc").cogroup(graph.groupBy("first", "arc")).applyInPandas(find, "key bigint, first int")
 
     def add_batch(self, batch: DataFrame, number: int) -> DataFrame:
         """(doc_id, repeats, earlier): documents of a batch (doc_id, ch, fp, own), what they repeat, and whether that was delivered in an earlier batch.
@@ -237,16 +253,17 @@ class HistoryIndex:
         distinct = sets.groupBy("entity").agg(F.first("own").alias("own"))
         # The parts of a segment are written in one go, a folder each.
         where = f"{self.path}/segment-{uuid.uuid4().hex[:12]}"
-        parts = [members.withColumn("part", F.lit("members")), distinct.withColumn("part", F.lit("sets")), self._posted(members.where("not startswith(entity, 's')").select("entity").distinct(), distinct).withColumn("part", F.lit("posted"))]
+        parts = [members.withColumn("part", F.lit("members")), distinct.withColumn("part", F.lit("sets")), self._posted(members.where("not startswith(entity, 's')").select("entity").distinct(), distinct).select("*", F.lit(number).alias("first"), F.lit("posted").alias("part"))]
         whole = parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
         whole.write.partitionBy("part").option("compression", "zstd").parquet(where)
         members, distinct, posted = (self._made(f"{where}/part={n}") for n in ("members", "sets", "posted"))
         own_members, own_sets, keyed = self._read([members], MEMBERS), self._read([distinct], SETS), self._read([posted], POSTED)
-        graph, arcs = self._graph(keyed, keyed.count())
+        graph, arcs = self._graph(keyed, keyed.count(), number)
         self.segments.append({"first": number, "last": number, "arcs": arcs, "graph": graph, "posted": posted})
         self.members.append(members)
         self.sets.append(distinct)
-        found = None if number == 0 else stage(self._repeats(keyed, own_members, own_sets), "repeats")
+        self._let_go()
+        found = None if number == 0 else self._repeats(keyed, own_members, own_sets)
         self._commit()
         if len(new := [i for i, s in enumerate(self.segments) if s["first"] == s["last"] > 0]) >= COMPACT_EVERY:
             self.compact(new)
@@ -254,11 +271,12 @@ class HistoryIndex:
         return found if found is not None else self.spark.createDataFrame([], REPEATS)
 
     def _repeats(self, keyed: DataFrame, own_members: DataFrame, own_sets: DataFrame) -> DataFrame:
-        posted = None
-        for i, s in enumerate(self.segments):
-            part = self._read([s["posted"]], POSTED).select("key", F.col("entity").alias("b"), F.lit(i).alias("segment"))
-            posted = part if posted is None else posted.unionByName(part)
-        near = self.search(keyed).join(keyed.withColumnRenamed("entity", "a"), "key").join(posted, ["key", "segment"]).select("a", "b").distinct()
+        posted = self._read([s["posted"] for s in self.segments], POSTED).select("key", F.col("entity").alias("b"), "first")
+        near = self.search(keyed).join(keyed.select("key", F.col("entity").alias("a")), "key").join(posted, ["key", "first"]).select("a", "b").distinct()
+        # Written on its own: the driver describes a plan anew as each of its stages ends, which grows as the square of the stages.
+        where = self._write(near, "near")
+        self._let_go()
+        near = self._read([where], "a string, b string")
         # Exact ranking of what was found: content and fingerprint keys name one entity; sets are compared.
         same = near.where("a = b")
         every = self._read(self.sets, SETS).dropDuplicates(["entity"])
@@ -272,7 +290,9 @@ class HistoryIndex:
         left = linked.join(own_members.select(F.col("entity").alias("a"), F.col("doc_id").alias("x"), F.col("batch").alias("bx")), "a").join(sizes.withColumnRenamed("entity", "b"), "b").withColumn("piece", F.pmod(F.xxhash64("x"), F.col("pieces")).cast("int")).select("b", "x", "bx", "piece")
         right = all_members.join(sizes, "entity").select(F.col("entity").alias("b"), F.col("doc_id").alias("y"), F.col("batch").alias("by"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
         pairs = left.join(right, ["b", "piece"]).where((F.col("x") != F.col("y")) & ((F.col("by") < F.col("bx")) | (F.col("x") > F.col("y"))))
-        return pairs.select(F.col("x").alias("doc_id"), F.col("y").alias("repeats"), (F.col("by") < F.col("bx")).alias("earlier")).distinct()
+        found = stage(pairs.select(F.col("x").alias("doc_id"), F.col("y").alias("repeats"), (F.col("by") < F.col("bx")).alias("earlier")).distinct(), "repeats")
+        self._files()[1].delete(self.spark._jvm.org.apache.hadoop.fs.Path(where), True)
+        return found
 
     def compact(self, which: list[int]) -> None:
         """Merges segments into one: their postings, and graphs built anew from the keys of the old ones. Nothing but the index is read."""
@@ -283,14 +303,15 @@ class HistoryIndex:
                     yield pd.DataFrame({"key": np.frombuffer(k, np.int64)})
 
         old = [self.segments[i] for i in which]
-        posted = self._write(self._read([s["posted"] for s in old], POSTED).distinct(), "posted")
-        graph, arcs = self._graph(self._read([s["graph"] for s in old], GRAPH).select("keys").mapInPandas(points, "key bigint"), self._read([posted], POSTED).count())
-        merged = {"first": min(s["first"] for s in old), "last": max(s["last"] for s in old), "arcs": arcs, "graph": graph, "posted": posted}
+        first = min(s["first"] for s in old)
+        posted = self._write(self._read([s["posted"] for s in old], POSTED).select("key", "entity").distinct().withColumn("first", F.lit(first)), "posted")
+        graph, arcs = self._graph(self._read([s["graph"] for s in old], GRAPH).select("keys").mapInPandas(points, "key bigint"), self._read([posted], POSTED).count(), first)
+        merged = {"first": first, "last": max(s["last"] for s in old), "arcs": arcs, "graph": graph, "posted": posted}
         self.segments = sorted([s for i, s in enumerate(self.segments) if i not in which] + [merged], key=lambda s: s["first"])
         self._commit()
 
 
-MEMBERS, SETS, POSTED, REPEATS = "entity string, doc_id bigint, batch int", "entity string, own array<string>", "key bigint, entity string", "doc_id bigint, repeats bigint, earlier boolean"
+MEMBERS, SETS, POSTED, REPEATS = "entity string, doc_id bigint, batch int", "entity string, own array<string>", "key bigint, entity string, first int", "doc_id bigint, repeats bigint, earlier boolean"
 
 
 def repeats_by_batch(documents: DataFrame, chunks: DataFrame, path: str | None = None) -> DataFrame:

@@ -406,6 +406,17 @@ def test_batches_one_by_one_read_only_the_index(spark, tmp_path):
     assert {(r.doc_id_a, r.doc_id_b) for r in history.repeats(d, c).collect()} == want
 
 
+def test_plans_stay_the_same_size_however_many_segments(spark, tmp_path):
+    d, c = _deliveries(spark)
+    index, scans = history.HistoryIndex(spark, str(tmp_path / "index")), []
+    for number in range(3):
+        index.add_batch(history.delivered(d.where(f"batch_no = {number}"), c).drop("batch"), number)
+        found = index.search(spark.createDataFrame([(7,)], "key bigint"))
+        scans.append(found._jdf.queryExecution().optimizedPlan().toString().count("Relation ["))
+    assert len(index.segments) == 3 and scans == [1, 1, 1]
+    assert not list((tmp_path / "index").glob("near-*"))
+
+
 def test_widest_beam_falls_back_to_all_points():
     own = np.random.default_rng(14)
     keys = np.unique(own.integers(0, 1 << 63, 3_000).astype(np.uint64) * np.uint64(2))
