@@ -21,6 +21,7 @@ import re
 from collections import Counter
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,11 +40,14 @@ USUAL_SHARE, USUAL_LEAST = 1e-4, 3
 LEARNED_LEAST, LOST_LEAST = 3, 3
 #: Letters a clause has to keep, once stripped, to have twins; letters of a word that anchors the text beside it, and how much of that is aligned.
 SKELETON, ANCHOR, BESIDE = 7, 4, 24
+#: Characters next to an anchor in which a garbled text and what a chain makes of a clean one have to agree.
+AGREE = 4
 SALTS = 16
 #: How much more usual (as a factor) the words a repair brings must be.
 GAIN = 3.0
 
 _WIDE = "⺀-鿿豈-﫿＀-￯-"
+_WIDE_JAVA = r"[\x{2E80}-\x{FAFF}\x{FF00}-\x{10FFFF}]"  # as _is_wide
 _TOKEN = re.compile(rf"[{_WIDE}]|[A-Za-z]*[^\x00-\x7f{_WIDE}][^\x00-\x40\x5b-\x60\x7b-\x7f{_WIDE}]*")
 _RUN = re.compile(r"[^\x00-\x7f]+")
 _WORD = re.compile(rf"[A-Za-z]*[^\x00-\x7f{_WIDE}][^\x00-\x40\x5b-\x60\x7b-\x7f{_WIDE}]*")
@@ -178,24 +182,27 @@ def explained(garbled: str, clean: str) -> tuple[str, ...]:
 
 
 @lru_cache(maxsize=50_000)
-def _beside(clean: str) -> tuple[tuple[str, str], ...]:
-    """What chains with a multi-byte encoding in them make of a wide text."""
-    return tuple((name, g) for name, steps in CANDIDATES.items() if len(steps) == 1 and (MULTIBYTE in steps[0] or steps[0][0] == "utf-8") and (g := garble(clean, steps)) is not None)
+def _beside(clean: str, after: bool) -> dict[str, tuple[str, ...]]:
+    """Chains with a multi-byte encoding in them, by the characters that they put next to the anchor in place of a wide text's."""
+    found: dict[str, tuple[str, ...]] = {}
+    for name, steps in CANDIDATES.items():
+        if len(steps) > 1 or not (MULTIBYTE in steps[0] or steps[0][0] == "utf-8"):
+            continue
+        if not after and steps[0][1] == MULTIBYTE:
+            continue  # where its characters begin can't be told from the end
+        if (made := garble(clean, steps)) is not None and len(made) >= AGREE:
+            head = made[:AGREE] if after else made[-AGREE:]
+            found[head] = (*found.get(head, ()), name)
+    return found
 
 
 def explained_beside(key: str, garbled: str, clean: str) -> dict[str, int]:
     """Chains that turn the clean text beside an anchor into the garbled one as far as both go, with the number of characters they agree in."""
-    found = {}
-    for name, made in _beside(clean):
-        if key[0] == ">":
-            n = next((i for i, (x, y) in enumerate(zip(made, garbled)) if x != y), min(len(made), len(garbled)))
-            part = made[:n]
-        else:
-            if CANDIDATES[name][0][1] == MULTIBYTE:
-                continue  # where its characters begin can't be told from the end
-            n = next((i for i, (x, y) in enumerate(zip(reversed(made), reversed(garbled))) if x != y), min(len(made), len(garbled)))
-            part = made[len(made) - n :]
-        if n >= 4 and "�" not in part:
+    found, after = {}, key[0] == ">"
+    for name in _beside(clean, after).get(garbled[:AGREE] if after else garbled[-AGREE:], ()):
+        made, way = garble(clean, CANDIDATES[name]), 1 if after else -1
+        n = next((i for i, (x, y) in enumerate(zip(made[::way], garbled[::way])) if x != y), min(len(made), len(garbled)))
+        if "�" not in (made[:n] if after else made[len(made) - n :]):
             found[name] = n
     return found
 
@@ -337,6 +344,19 @@ def confirmed(votes: dict[tuple[str, ...], int]) -> dict[str, int]:
     return found
 
 
+def beside_pairs(forms: DataFrame) -> DataFrame:
+    """(skeleton, garbled, clean, n): of texts beside anchors (skeleton, own, n), each that may be misread, with all wide ones beside the same anchor."""
+
+    def suspects(batches):
+        for pdf in batches:
+            yield pdf[np.fromiter(map(_suspect, pdf.own), bool, len(pdf))]
+
+    # Asked once a form, not once a pair; most are suspects, since U+FFFD counts as wide. Salted so that no anchor is one task.
+    garbled = forms.select("skeleton", "own", "n").mapInPandas(suspects, "skeleton string, own string, n bigint")
+    clean = forms.where(F.col("own").rlike(_WIDE_JAVA)).select("skeleton", F.col("own").alias("clean"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return garbled.withColumn("salt", F.pmod(F.hash("own"), F.lit(SALTS))).join(clean, ["skeleton", "salt"]).where(F.col("own") != F.col("clean")).select("skeleton", F.col("own").alias("garbled"), "clean", "n")
+
+
 def learn(docs: DataFrame) -> Mender:
     """Reads the corpus once for its usual words and its twins. Taken to the driver: words above a share of the documents, votes by chain, and runs."""
     n = docs.count()
@@ -361,28 +381,28 @@ def learn(docs: DataFrame) -> Mender:
     least = max(USUAL_LEAST, math.ceil(USUAL_SHARE * n))
     usual = {r.own: r.n for r in seen.where((F.col("skeleton") == "") & (F.col("n") >= least)).select("own", "n").toLocalIterator()}
     # Every form is held against all that may be its clean one: clauses against those three times as usual of the same ASCII text, what stands beside an
-    # anchor against all beside it; salted so that no key is one task.
+    # anchor against all wide text beside it; salted so that no key is one task.
     anchored = F.col("skeleton").rlike("^[<>]")
-    shape = F.when(anchored, "").otherwise(F.regexp_replace(F.regexp_replace("own", r"[^\x00-\x7f]+", "0"), " ", ""))
-    twin = seen.where("skeleton <> ''").withColumn("shape", shape)
-    clean = twin.where(anchored | (F.col("n") > 1)).select("skeleton", "shape", F.col("own").alias("clean"), F.col("n").alias("times"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    shape = F.regexp_replace(F.regexp_replace("own", r"[^\x00-\x7f]+", "0"), " ", "")
+    twin = seen.where(F.col("skeleton") != "").where(~anchored).withColumn("shape", shape)
+    clean = twin.where("n > 1").select("skeleton", "shape", F.col("own").alias("clean"), F.col("n").alias("times"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     rest = twin.withColumn("salt", F.pmod(F.hash("own"), F.lit(SALTS)))
-    pairs = rest.join(clean, ["skeleton", "shape", "salt"]).where((F.col("own") != F.col("clean")) & (anchored | (F.col("times") >= 3 * F.col("n")))).select("skeleton", F.col("own").alias("garbled"), "clean", "n", "times")
+    pairs = rest.join(clean, ["skeleton", "shape", "salt"]).where((F.col("own") != F.col("clean")) & (F.col("times") >= 3 * F.col("n"))).select("skeleton", F.col("own").alias("garbled"), "clean", "n", "times")
 
     def told(batches):
         for pdf in batches:
             yield pdf.assign(told=[sum(len(run) for run, was in align(g, c) if explained(run, was)) for g, c in zip(pdf.garbled, pdf.clean)])
 
     # A clause was one text before: of all it was held against, the one that chains explain most of it from, and then the most usual.
-    one = pairs.where(~anchored).mapInPandas(told, "skeleton string, garbled string, clean string, n bigint, times bigint, told bigint").groupBy("skeleton", "garbled", "n").agg(F.max(F.struct("told", "times", "clean")).alias("best"))
-    pairs = pairs.where(anchored).drop("times").unionByName(one.select("skeleton", "garbled", F.col("best.clean").alias("clean"), "n"))
+    one = pairs.mapInPandas(told, "skeleton string, garbled string, clean string, n bigint, times bigint, told bigint").groupBy("skeleton", "garbled", "n").agg(F.max(F.struct("told", "times", "clean")).alias("best"))
+    pairs = beside_pairs(seen.where(anchored)).unionByName(one.select("skeleton", "garbled", F.col("best.clean").alias("clean"), "n"))
 
     def infer(batches):
         for pdf in batches:
             out = Counter()
             for key, garbled, clean, k in pdf.itertuples(index=False):
                 if key[0] in "<>":
-                    if _suspect(garbled) and any(map(_is_wide, clean)) and (names := explained_beside(key, garbled, clean)):
+                    if names := explained_beside(key, garbled, clean):
                         most = max(names.values())
                         out["chain", "|".join(x for x in names if names[x] == most), ""] += k * (most // 2)
                     continue

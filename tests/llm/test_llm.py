@@ -289,6 +289,14 @@ def test_wide_text_is_aligned_beside_an_anchor():
     assert encodings.explained_beside(">Anchor", "¼¾¶È½áÊø", clean) == {}
 
 
+def test_texts_beside_an_anchor_are_held_against_wide_ones_only(spark):
+    wide, wrong = ["合同到期之后", "本公司董事会", "股东大会审议"], encodings.garble("合同到期之后", (("utf-8", "cp1251"),))
+    forms = [(">Alpha", w) for w in [*wide, wrong, "Ελληνικά"]] + [(">Beta", w) for w in wide] + [(">Gamma", w) for w in ("Ελληνικά", "Русский")]
+    pairs = encodings.beside_pairs(spark.createDataFrame([(k, w, 2) for k, w in forms], "skeleton string, own string, n bigint")).collect()
+    assert len(pairs) == 18 and {(r.skeleton, r.garbled, r.clean) for r in pairs} == {(k, g, w) for k, g in forms for w in wide if g != w and k != ">Gamma"}
+    assert encodings.explained_beside(">Alpha", wrong, wide[0])["utf-8 as cp1251"] == len(wrong)
+
+
 def test_lost_marks_are_learned_and_words_restored():
     usual = {"für": 900, "schließlich": 80, "fär": 3}
     own = encodings.Mender(usual, {}, {}, frozenset("�"))
