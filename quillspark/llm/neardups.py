@@ -40,6 +40,8 @@ CELLS, MOST_CELLS, CELLS_A_TEXT, BLOCK = 1 << 20, 1 << 26, 64, 1 << 16
 ALONE = 8
 #: Places of triples are told apart up to this one, which only makes later ones pass.
 FAR_PLACE = 32_767
+#: Triples of the texts that are listed and packed together.
+TOGETHER = 1 << 18
 #: Pairs looked at in one go.
 PAIRS = 200_000
 #: Texts of one triple that are held against all others of it in one tile, where there are so many others, and the others in a tile.
@@ -57,7 +59,7 @@ class Triples:
     """64-bit hashes of the distinct word triples of texts. Words are hashed once a process, while they fit."""
 
     def __init__(self):
-        self.known: dict[str, int] = {}
+        self.known: dict[str, bytes] = {}
 
     def of(self, text: str | None, least: int) -> np.ndarray | None:
         import xxhash
@@ -71,15 +73,17 @@ class Triples:
         if len(known) > 500_000:
             known.clear()
         try:
-            h = np.array([known[w] for w in own], np.uint64)
+            h = np.frombuffer(b"".join([known[w] for w in own]), "<u8")
         except KeyError:
             for w in own:
                 if w not in known:
-                    known[w] = xxhash.xxh64_intdigest(w)
-            h = np.array([known[w] for w in own], np.uint64)
+                    known[w] = xxhash.xxh64_intdigest(w).to_bytes(8, "little")
+            h = np.frombuffer(b"".join([known[w] for w in own]), "<u8")
         t = h[:-2] * np.uint64(0x9E3779B97F4A7C15) + (h[1:-1] ^ (h[1:-1] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + h[2:] * np.uint64(0x94D049BB133111EB)
         t ^= t >> np.uint64(31)
-        return np.unique(t * np.uint64(0xD6E8FEB86659FD93))
+        t *= np.uint64(0xD6E8FEB86659FD93)
+        t.sort()
+        return t[np.concatenate([[True], t[1:] != t[:-1]])]
 
 
 def rarity(texts: DataFrame, least_words: int, cells: int = CELLS) -> np.ndarray:
@@ -130,11 +134,11 @@ def _segment(t: np.ndarray) -> np.ndarray:
 
 
 def prefixes(sets: list[np.ndarray], order: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(set, triple, place), (set, segment) sizes: the first triples of each segment of each set, rarest first, as far as the first one shared can stand."""
+    """Of sorted sets, (set, triple, place), (set, segment) sizes: the first triples of each segment of each set, rarest first, as far as the first one shared can stand."""
     n = np.array([len(s) for s in sets])
     flat, own = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
     box = own * SEGMENTS + _segment(flat)
-    at = np.lexsort((flat, order[_cell(flat, len(order))], box))
+    at = np.argsort(box << 8 | order[_cell(flat, len(order))], kind="stable")  # equally rare ones stay as they are in the set, by hash
     size = np.bincount(box, minlength=len(sets) * SEGMENTS)
     place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
     keep = place <= np.repeat(size - np.ceil(similarity * size - 1e-9).astype(np.int64), size)
@@ -172,6 +176,33 @@ def sizes_of(words: np.ndarray, starts: np.ndarray, widths: np.ndarray) -> tuple
     return out, heads
 
 
+def pack(ids: np.ndarray, counts: np.ndarray, keys: np.ndarray, places: np.ndarray, bits: list[np.ndarray]) -> bytes:
+    """Texts of one part, with counts keys and places each, in few bytes: whole columns, small numbers in the least width that holds them all."""
+    import pyarrow as pa
+
+    small = [x.astype(f"<u{next(k for k in (1, 2, 4) if x.max() < 1 << 8 * k)}") for x in (counts, np.array([len(x) for x in bits]), places)]
+    # Hashes are as good as random. Sketches have few bits set; they compress by themselves only.
+    columns = [np.concatenate(bits).tobytes(), b"".join(x.tobytes() for x in small)]
+    packed = [pa.compress(x, codec="zstd", asbytes=True) for x in columns]
+    sizes = [len(ids), len(keys), *(x.itemsize for x in small), *map(len, columns), *map(len, packed)]
+    return b"".join([np.array(sizes, "<u4").tobytes(), ids.astype("<i8").tobytes(), keys.astype("<u4").tobytes(), *packed])
+
+
+def unpack(packed: list[bytes]) -> list[np.ndarray]:
+    """All that was packed, one after the other: ids, counts, keys, places, and the widths and words of what goes with each id."""
+    import pyarrow as pa
+
+    columns = []
+    for x in packed:
+        n, postings, *kinds, words, small, words_packed, small_packed = np.frombuffer(x, "<u4", 9).tolist()
+        cuts = np.cumsum([36, 8 * n, 4 * postings, words_packed, small_packed]).tolist()
+        words, small = (pa.decompress(x[a:b], size, codec="zstd", asbytes=True) for a, b, size in zip(cuts[2:], cuts[3:], (words, small)))
+        at = np.cumsum([0, kinds[0] * n, kinds[1] * n]).tolist()
+        counts, widths, places = (np.frombuffer(small, f"<u{kind}", length, k) for kind, length, k in zip(kinds, (n, n, postings), at))
+        columns.append((np.frombuffer(x, "<i8", n, cuts[0]), counts, np.frombuffer(x, "<u4", postings, cuts[1]), places, widths, np.frombuffer(words, "<i8")))
+    return [np.concatenate(x) for x in zip(*columns)]
+
+
 class Sketches:
     """Sketches of many texts, by width; differences are those of the widest sketch that both texts have."""
 
@@ -313,27 +344,28 @@ def candidates(texts: DataFrame, similarity: float, least_words: int, hot: int =
     # Most cells are empty or alone: packed, the counts take a fraction of the disk that copies of a broadcast lie on.
     packed = spark.sparkContext.broadcast(pa.compress(rarity(texts, least_words, cells).tobytes(), codec="zstd", asbytes=True))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    names = ["part", "id", "keys", "places", "sketch"]
 
     def rows(ids, sets, order):
         own, flat, place, sizes = prefixes(sets, order, similarity)
         often = order[_cell(flat, cells)]
         shared = often > ALONE
         own, flat, place, often = own[shared], flat[shared], place[shared], np.exp2((often[shared] + 1) / 8).astype(np.int64)
-        at, part = spread(((flat >> np.uint64(32)) % np.uint64(parts)).astype(np.int32), often, np.array(ids, np.int64)[own] & 0xFFFF, parts, hot)
-        own, flat, place = own[at], flat[at], place[at]
-        at = np.lexsort((part, own))
-        own, flat, place, part = own[at], flat[at], place[at], part[at]
-        starts = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (part[1:] != part[:-1])]))
-        offsets = pa.array(np.append(starts, len(own)).astype(np.int32))
-        bits = [np.concatenate([head(s), x]) for s, x in zip(sizes, sketches(sets))]
-        bits = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, bits)]).astype(np.int32)), pa.array(np.concatenate(bits)))
-        lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (flat.astype(np.uint32).view(np.int32), np.minimum(place, FAR_PLACE).astype(np.int16))]
-        text = own[starts]
-        return pa.RecordBatch.from_arrays([pa.array(part[starts]), pa.array(np.array(ids, np.int64)[text]), *lists, bits.take(pa.array(text))], names)
+        ids = np.array(ids, np.int64)
+        at, part = spread(((flat >> np.uint64(32)) % np.uint64(parts)).astype(np.int32), often, ids[own] & 0xFFFF, parts, hot)
+        by = np.lexsort((own[at], part))
+        part, at = part[by], at[by]
+        own, key, place = own[at], flat[at].astype(np.uint32), np.minimum(place[at], FAR_PLACE)
+        starts = np.flatnonzero(np.diff(part, prepend=-1) | np.diff(own, prepend=-1))
+        text, counts, of = own[starts], np.diff(starts, append=len(own)), part[starts]
+        first = np.flatnonzero(np.diff(of, prepend=-1))
+        bits, out = [np.concatenate([head(s), x]) for s, x in zip(sizes, sketches(sets))], []
+        for a, b in zip(first, np.append(first[1:], len(of))):
+            t, post = text[a:b], slice(starts[a], starts[b] if b < len(of) else None)
+            out.append(pack(ids[t], counts[a:b], key[post], place[post], [bits[k] for k in t]))
+        return pa.RecordBatch.from_arrays([pa.array(of[first], pa.int32()), pa.array(out, pa.binary())], ["part", "texts"])
 
     def list_all(batches):
-        triples, seen, ids, sets = Triples(), set(), [], []
+        triples, seen, ids, sets, held = Triples(), set(), [], [], 0
         order = np.frombuffer(pa.decompress(packed.value, cells, codec="zstd"), np.uint8)
         for batch in batches:
             for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
@@ -345,25 +377,21 @@ def candidates(texts: DataFrame, similarity: float, least_words: int, hot: int =
                 if (t := triples.of(text, least_words)) is not None:
                     ids.append(i)
                     sets.append(t)
-                if len(ids) == 256:
+                    held += len(t)
+                if held >= TOGETHER:
                     yield rows(ids, sets, order)
-                    ids, sets = [], []
+                    ids, sets, held = [], [], 0
         if ids:
             yield rows(ids, sets, order)
 
     def pair(batches):
-        held = [b for b in batches if len(b)]
+        held = [x for b in batches for x in b.column("texts").to_pylist()]
         if not held:
             return
-        table = pa.Table.from_batches(held).combine_chunks()
+        ids, counts, key, place, widths, words = unpack(held)
         del held
-        ids = table["id"].to_numpy()
-        of = lambda name: table[name].combine_chunks()
-        keys, places, bits = of("keys"), of("places"), of("sketch")
-        row = np.repeat(np.arange(len(ids)), keys.value_lengths().to_numpy())
-        key, place = keys.flatten().to_numpy().view(np.uint32), places.flatten().to_numpy()
-        starts, widths, words = bits.offsets.to_numpy()[:-1], bits.value_lengths().to_numpy(), bits.flatten().to_numpy()
-        starts = starts - starts[0]
+        row, widths = np.repeat(np.arange(len(ids)), counts), widths.astype(np.int64)
+        starts = np.cumsum(widths) - widths
         sizes, heads = sizes_of(words, starts, widths)
         found = Sketches(words.view(np.uint64), starts + heads, widths - heads, sizes)
         for i, j, segment in met(ids, sizes, row, key, place, similarity, found):
@@ -373,8 +401,7 @@ def candidates(texts: DataFrame, similarity: float, least_words: int, hot: int =
                 a, b = np.unique(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])]), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    schema = "part int, id bigint, keys array<int>, places array<smallint>, sketch array<bigint>"
-    return texts.mapInArrow(list_all, schema).repartitionById(parts, "part").mapInArrow(pair, "a bigint, b bigint").distinct()
+    return texts.mapInArrow(list_all, "part int, texts binary").repartitionById(parts, "part").mapInArrow(pair, "a bigint, b bigint").distinct()
 
 
 def marked(ids: DataFrame, cells: int) -> np.ndarray:

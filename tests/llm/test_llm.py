@@ -183,6 +183,41 @@ def test_heads_of_sketches():
     assert (got == np.stack(sizes)).all() and heads.tolist() == [2, 4, 2]
 
 
+def test_packed_texts_come_back():
+    own = np.random.default_rng(31)
+    batches = []
+    for most in (200, 60_000, 100_000):
+        counts = np.array([1, 300 if most > 200 else 3, 2])
+        bits = [np.concatenate([neardups.head(np.full(8, most)), own.integers(-(1 << 63), 1 << 63, 8 << k, dtype=np.int64)]) for k in range(3)]
+        batches.append((np.array([-(1 << 63), 0, (1 << 60) - 1]), counts, own.integers(0, 1 << 32, counts.sum()).astype(np.uint32), np.minimum(own.integers(0, most, counts.sum()), neardups.FAR_PLACE), bits))
+    got = neardups.unpack([neardups.pack(*x) for x in batches])
+    bits = [x for b in batches for x in b[4]]
+    want = [*(np.concatenate([b[k] for b in batches]) for k in range(4)), np.array([len(x) for x in bits]), np.concatenate(bits)]
+    assert all((x == y).all() and len(x) == len(y) for x, y in zip(got, want)) and len(got) == len(want)
+
+
+def test_texts_move_in_few_bytes(spark):
+    """Texts whose triples are all common go to most parts; what they take there is little more than their sketch."""
+    own = np.random.default_rng(32)
+    words = [f"w{i}" for i in range(600)]
+    texts = [" ".join(w for at in own.integers(0, 570, 3) for w in words[at : at + 30]) for _ in range(1_000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string").coalesce(1)
+
+    def moved():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        store = spark.sparkContext._jsc.sc().statusStore()
+        stages = store.stageList(None, *(getattr(store, f"stageList$default${k}")() for k in range(2, 6)))
+        return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+    parts, before = spark.conf.get("spark.sql.shuffle.partitions"), moved()
+    spark.conf.set("spark.sql.shuffle.partitions", "20")
+    try:
+        assert neardups.candidates(df, 0.5, 30).count() > 100
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    assert moved() - before < 1_500_000
+
+
 def test_hot_triples_are_spread(spark):
     own = np.random.default_rng(12)
     part, often, block = own.integers(0, 40, 500), np.full(500, 950), own.integers(0, 1 << 16, 500)
